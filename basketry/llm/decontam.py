@@ -162,6 +162,17 @@ def tiled_pairs(
     return found.select(F.col("_id").alias(id_col), F.col("_m.item").alias(item_col), F.col("_m.item_words").alias("item_words"), F.col("_m.covered").alias("covered"), F.col("_m.tiles").alias("tiles"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows that contaminated() pairs with an item. Keeps the columns of docs, whatever their names.
+
+    Null ids are judged like others: rows are told apart by their place, not their id.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
+    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    bad = contaminated(rows, benchmark, threshold=threshold, id_col="_row", text_col="_text", **options).select("_row").distinct()
+    return rows.join(bad, "_row", "left_anti").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id", **options) -> DataFrame:
     """The (document, benchmark item) pairs whose tiles cover `threshold` of the item's words or more.
 

@@ -37,7 +37,24 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), cap:
     return t.select("_null", "_src", "source_size", F.least(F.col("_cap"), level * F.col("_w")).alias("target"))
 
 
-def mix_sources(
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), **options) -> DataFrame:
+    """The mix of mix_rows() without its row numbers."""
+    return mix_rows(docs, weights, **options).drop("_row")
+
+
+def take_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that mix_rows() takes a copy of or more, with size, source_size, target and taken added.
+
+    Keeps the columns of docs; what is added replaces a column of the same name.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[F.col(f"`{c}`") for c in {text_col, options.get("id_col", "doc_id"), options.get("source_col", "source")}])
+    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    added = ["size", "source_size", "target", "taken"]
+    taken = mix_rows(rows, weights, size=word_count(F.col(text_col)), **options).filter("taken > 0").select("_row", *added)
+    return rows.select("_row", "_doc").join(taken, "_row").select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c not in added], *added)
+
+
+def mix_rows(
     docs: DataFrame,
     weights: Sequence[float] = (1, 2, 3),
     *,
@@ -57,16 +74,15 @@ def mix_sources(
     The order is cut without sorting a source in one task: words are summed in fine bins of the rank's logarithm, the
     bin where the rest is filled is found from these sums, and only the documents of that bin are put in order.
 
-    Returns one row per row of docs: id_col, source_col, size, source_size, target, taken. Null text or size counts
+    Returns one row per row of docs: _row (its number, or that of docs' column _row), id_col, source_col, size,
+    source_size, target, taken. Null text or size counts
     0 words and takes 0; a null source is a source of its own, last in order; rows with the same id are separate
     documents with the same random number, ordered by size; an empty table gives no row; other columns are ignored.
     """
     n_words = F.coalesce((word_count(F.col("text")) if size is None else size).cast("long"), F.lit(0))
-    rows = staged(
-        docs.select(F.col(id_col).alias("_id"), F.col(source_col).isNull().alias("_null"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"), n_words.alias("_size"))
-        .withColumn("_row", F.monotonically_increasing_id()),
-        "sizes",
-    )
+    source = F.col(source_col).cast("string")
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id().alias("_row")
+    rows = staged(docs.select(F.col(id_col).alias("_id"), source.isNull().alias("_null"), F.coalesce(source, F.lit("")).alias("_src"), n_words.alias("_size"), row), "sizes")
     sums = rows.groupBy("_null", "_src").agg(F.sum("_size").alias("source_size"), F.count("*").alias("_docs"))
     key = ["_null", "_src"]
     sources = staged(source_targets(sums, weights, cap).withColumn("_times", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "targets")
@@ -91,9 +107,10 @@ def mix_sources(
     at_cut = at_cut.withColumn("_extra", (F.col("_so_far") + F.col("_size") / 2 <= F.col("_rest")).cast("long"))
     others = joined.filter(F.col("_cut").isNull() | (F.col("_bin") != F.col("_cut")))
     others = others.withColumn("_extra", F.coalesce((F.col("_bin") < F.col("_cut")).cast("long"), F.lit(0)))
-    cols = ["_id", *key, "_size", "source_size", "target", "_whole", "_extra"]
+    cols = ["_row", "_id", *key, "_size", "source_size", "target", "_whole", "_extra"]
     out = others.select(*cols).unionByName(at_cut.select(*cols))
     return out.select(
+        "_row",
         F.col("_id").alias(id_col),
         F.when(~F.col("_null"), F.col("_src")).alias(source_col),
         F.col("_size").alias("size"),

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketry.llm import decontam, exact, mixing, toxicity
+from basketry.llm import decontam, exact, jaccard, lines, mixing, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and the removed line numbers, comma-joined."""
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    found = lines.line_decisions(rows)
+    return found.select(F.col("_id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,12 +32,16 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_sources, op3_toxicity, op6_decontaminate, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op6_decontaminate, op7_jaccard_join, op8_exact_dedup)}
 
 
 OP8_SQL = """
