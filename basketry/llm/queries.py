@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, exact, jaccard, lines, mixing, toxicity
+from basketry.llm import decontam, exact, jaccard, lines, mixing, ngram, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_texts(read(spark, sf_dir, "documents"), toxicity.held_out("doc_id", 10))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op6_decontaminate, op7_jaccard_join, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op6_decontaminate, op7_jaccard_join, op8_exact_dedup, op9_lm_scores)}
 
 
 OP8_SQL = """
