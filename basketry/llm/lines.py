@@ -127,6 +127,12 @@ def _letters_differ(x: Column, y: Column) -> Column:
     return total
 
 
+def _values(column: pa.Array, step: int = 256) -> Iterator:
+    """The values of a column, a few at a time, so that a batch of long texts is not held twice."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def _each_line(least: int, make, schema: pa.Schema):
     """A task's function over texts: rows made of every line that is new in its batch."""
 
@@ -134,13 +140,13 @@ def _each_line(least: int, make, schema: pa.Schema):
         for batch in batches:
             seen: set[bytes] = set()
             rows: list[tuple] = []
-            for text in batch.column(0).to_pylist():
+            for text in _values(batch.column(0)):
                 for _, line in lines_of(text, least):
                     hh = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
                     if hh not in seen:
                         seen.add(hh)
                         rows += make(hh, line)
-                if len(rows) > 200_000:
+                if len(rows) > 40_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
             if rows:
@@ -161,7 +167,7 @@ def near_lines(texts: DataFrame, *, least: int, edits: int, broadcast_rows: int
         return [(signed(k), h, kinds, True) for k in own] + [(signed(k), h, kinds, False) for k in probes]
 
     schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("kinds", pa.int64()), ("own", pa.bool_())])
-    rows = texts.mapInArrow(_each_line(least, keys, schema), "key long, h long, kinds long, own boolean")
+    rows = staged(texts.mapInArrow(_each_line(least, keys, schema), "key long, h long, kinds long, own boolean"), "keys")
     index = rows.filter("own").select("key", F.col("h").alias("ha"), F.col("kinds").alias("ka"))
     probe = rows.select("key", F.col("h").alias("hb"), F.col("kinds").alias("kb"))
     met = index.join(probe.hint("shuffle_merge"), "key").filter(F.col("ha") != F.col("hb"))
@@ -200,7 +206,7 @@ def line_decisions(rows: DataFrame, *, least: int = 32, edits: int = 2) -> DataF
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for row, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, key, text in zip(*map(_values, batch.columns), strict=True):
                 out.append((row, key, -1, 0 if text is None or text == "" else text.count("\n") + 1, None))
                 out += [(row, key, i, 0, xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))) for i, line in lines_of(text, least)]
             cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
