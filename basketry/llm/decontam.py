@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from basketry.llm.store import staged
 from basketry.llm.toxicity import PLAIN
@@ -91,8 +93,37 @@ class Items:
         return out
 
 
-def _pairs_type(item_type: pa.DataType) -> pa.DataType:
-    return pa.list_(pa.struct([("item", item_type), ("item_words", pa.int64()), ("covered", pa.int64()), ("tiles", pa.int64())]))
+def _pairs_type(item_type: DataType) -> tuple[pa.DataType, str]:
+    kind = pa.list_(pa.struct([("item", to_arrow_type(item_type)), ("item_words", pa.int64()), ("covered", pa.int64()), ("tiles", pa.int64())]))
+    return kind, f"array<struct<item:{item_type.simpleString()},item_words:long,covered:long,tiles:long>>"
+
+
+def _as_structs(found: list[list[tuple]]) -> list[list[dict]]:
+    return [[dict(zip(("item", "item_words", "covered", "tiles"), t, strict=True)) for t in x] for x in found]
+
+
+def _tiler(items: DataFrame, least: int, broadcast_bytes: int):
+    """A function from a text column to its matches with all items, which every task holds; None beyond the size bound."""
+    size = items.agg(F.sum(F.octet_length("_item_text") + 64).alias("n")).first()["n"] or 0
+    if size > broadcast_bytes:
+        return None
+    rows = items.collect()
+    shared = items.sparkSession.sparkContext.broadcast(([r["_item"] for r in rows], [r["_item_text"].encode() for r in rows]))
+    kind, sql = _pairs_type(items.schema["_item"].dataType)
+    cache: dict = {}
+
+    @F.arrow_udf(sql)
+    def tile(column: pa.Array) -> pa.Array:
+        if "items" not in cache:
+            cache["items"] = Items(*shared.value, least)
+        return pa.array(_as_structs(cache["items"].matches(as_bytes(column))), kind)
+
+    return tile
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))
+    return benchmark.select(F.col(item_col).alias("_item"), text.alias("_item_text")).filter("_item is not null")
 
 
 def tiled_pairs(
@@ -114,27 +145,13 @@ def tiled_pairs(
     they are read, without a shuffle. Beyond it the seeds of both sides are joined, and the pairs that share one are
     tiled after joining their texts.
     """
-    items = benchmark.select(F.col(item_col).alias("_item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("_item_text")).filter("_item is not null")
+    items = _items(benchmark, item_col, item_text_col)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     item_type = items.schema["_item"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = _pairs_type(to_arrow_type(item_type))
-    sql = f"array<struct<item:{item_type.simpleString()},item_words:long,covered:long,tiles:long>>"
-    size = items.agg(F.sum(F.octet_length("_item_text") + 64).alias("n")).first()["n"] or 0
-    if size <= broadcast_bytes:
-        rows = items.collect()
-        ids, texts = [r["_item"] for r in rows], [r["_item_text"].encode() for r in rows]
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-        cache: dict = {}
-
-        @F.arrow_udf(sql)
-        def tile(column: pa.Array) -> pa.Array:
-            if "items" not in cache:
-                cache["items"] = Items(*shared.value, least)
-            return pa.array([[dict(zip(("item", "item_words", "covered", "tiles"), t, strict=True)) for t in x] for x in cache["items"].matches(as_bytes(column))], kind)
-
-        found = source.select("_id", F.explode(tile("_text")).alias("_m"))
+    kind, sql = _pairs_type(item_type)
+    tile = _tiler(items, least, broadcast_bytes)
+    if tile is not None:
+        found = source.select("_id", F.explode(tile(F.col("_text"))).alias("_m"))
     else:
 
         def seeds(short: bool):
@@ -156,23 +173,12 @@ def tiled_pairs(
         @F.arrow_udf(sql)
         def tile_pair(text: pa.Array, item: pa.Array, item_text: pa.Array) -> pa.Array:
             out = [Items([i], [t], least).matches([d])[0] for d, i, t in zip(as_bytes(text), item.to_pylist(), as_bytes(item_text), strict=True)]
-            return pa.array([[dict(zip(("item", "item_words", "covered", "tiles"), t, strict=True)) for t in x] for x in out], kind)
+            return pa.array(_as_structs(out), kind)
 
         found = near.join(rows, "_row").join(items, "_item").select("_id", F.explode(tile_pair("_text", "_item", "_item_text")).alias("_m"))
     return found.select(F.col("_id").alias(id_col), F.col("_m.item").alias(item_col), F.col("_m.item_words").alias("item_words"), F.col("_m.covered").alias("covered"), F.col("_m.tiles").alias("tiles"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that contaminated() pairs with an item. Keeps the columns of docs, whatever their names.
-
-    Null ids are judged like others: rows are told apart by their place, not their id.
-    """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
-    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    bad = contaminated(rows, benchmark, threshold=threshold, id_col="_row", text_col="_text", **options).select("_row").distinct()
-    return rows.join(bad, "_row", "left_anti").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id", **options) -> DataFrame:
     """The (document, benchmark item) pairs whose tiles cover `threshold` of the item's words or more.
 
@@ -183,3 +189,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.
     """
     pairs = tiled_pairs(docs, benchmark, id_col=id_col, item_col=item_col, **options)
     return pairs.withColumn("coverage", F.col("covered") / F.col("item_words")).filter(F.col("coverage") >= threshold)
+
+
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    threshold: float = 0.5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    least: int = 4,
+    broadcast_bytes: int = 16 << 20,
+) -> DataFrame:
+    """docs without the rows that contaminated() pairs with an item: a filter where every task can hold the items.
+
+    Keeps the columns of docs, whatever their names. Rows are told apart by their place, not their id, so null and
+    repeated ids are judged like others.
+    """
+    tile = _tiler(_items(benchmark, item_col, item_text_col), least, broadcast_bytes)
+    if tile is not None:
+        return docs.filter(~F.exists(tile(F.col(text_col).cast("string")), lambda m: m["covered"] / m["item_words"] >= threshold))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
+    rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    options = {"text_col": "_text", "item_col": item_col, "item_text_col": item_text_col, "least": least, "broadcast_bytes": broadcast_bytes}
+    bad = contaminated(rows, benchmark, threshold=threshold, id_col="_row", **options).select("_row").distinct()
+    return rows.join(bad, "_row", "left_anti").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.graph import components
-from basketry.llm.store import staged
+from basketry.llm.store import discard, staged
 from basketry.llm.words import as_bytes, hashed_words, in_chunks, mix, shingles
 
 SAMPLE = 16  # the first sites of a document hold 1/SAMPLE of its shingles beyond those that a partner may lack
@@ -101,6 +101,7 @@ def set_links(sets: DataFrame, percent: int, block: int = 2000) -> DataFrame:
     items = sets.select("row", "n", F.explode("set").alias("s"))
     counts = items.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     shared = staged(items.join(counts, "s"), "shared")
+    found = shared
     enough = shared.groupBy("row", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= _needed(F.col("n"), percent)).select("row")
     shared = shared.join(enough, "row")
     # Shingles that nobody else has come first in rank: they take that many of the first places.
@@ -108,6 +109,7 @@ def set_links(sets: DataFrame, percent: int, block: int = 2000) -> DataFrame:
     alone = F.col("n") - F.count("*").over(Window.partitionBy("row"))
     allowed = F.col("n") - _needed(F.col("n"), percent) + 1
     sites = staged(shared.withColumn("i", F.row_number().over(place) + alone).filter(F.col("i") <= allowed).select("row", "s"), "sites")
+    discard(found)
     pivots = sites.groupBy("s").agg(F.min("row").alias("p"), F.max("row").alias("q")).filter("p < q").select("s", "p")
     met = sites.join(staged(pivots, "pivots"), "s").select("p", "row").distinct()
     member = sets.select("row", "n", "set")
@@ -161,10 +163,12 @@ def grouped(source: DataFrame, n: int, percent: int, broadcast_rows: int = 500_0
     points = staged(source.mapInArrow(first_sites, f"row long, id {kind}, n long, fa long, fb long, first array<long>"), "points")
     at = points.filter("n > 0").select("row", "fa", F.explode("first").alias("s"))
     shared = at.groupBy("s").agg(F.min("fa").alias("lo"), F.max("fa").alias("hi")).filter("lo < hi").select("s")
-    hits = at.select("row", "s").join(staged(shared, "sites"), "s").groupBy("row").agg(F.count("*").alias("k"))
+    shared = staged(shared, "sites")
+    hits = at.select("row", "s").join(shared, "s").groupBy("row").agg(F.count("*").alias("k"))
     least = F.greatest(F.lit(1), F.floor(_needed(F.col("n"), percent) / SAMPLE))
     reached = hits.join(points.drop("first"), "row").filter(F.col("k") >= least)
     one = staged(reached.groupBy("fa", "fb", "n").agg(F.min("row").alias("row"), F.min_by("id", "row").alias("id")), "reached")
+    discard(shared)
 
     def full_sets(batches):
         for batch in batches:
@@ -176,16 +180,21 @@ def grouped(source: DataFrame, n: int, percent: int, broadcast_rows: int = 500_0
     wanted = wanted.withColumnRenamed("id", "_id").withColumnRenamed("row", "_row")
     sets = source.join(wanted, source["id"].eqNullSafe(F.col("_id"))).select("text", "fa", "fb", "_row")
     sets = staged(sets.mapInArrow(full_sets, "row long, n long, set array<long>").dropDuplicates(["row"]), "sets")
-    parts = components(set_links(sets, percent), "a", "b").select(F.col("node").alias("row"), F.col("component").alias("part"))
+    links = staged(set_links(sets, percent), "links")
+    discard(sets)
+    parts = components(links, "a", "b").select(F.col("node").alias("row"), F.col("component").alias("part"))
     parts = parts.join(one.select("row", "fa", "fb", "n"), "row").select("fa", "fb", "n", "part")
-    keyed = points.drop("first").join(staged(parts, "parts"), ["fa", "fb", "n"], "left")
+    parts = staged(parts, "parts")
+    keyed = points.drop("first").join(parts, ["fa", "fb", "n"], "left")
 
 
     def key(t: int, a: str, b: Column) -> Column:
         return F.struct(F.lit(t).alias("t"), F.col(a).alias("a"), b.cast("long").alias("b"))
 
     group = F.when(F.col("n") == 0, key(2, "row", F.lit(0))).when(F.col("part").isNull(), key(1, "fa", F.col("fb"))).otherwise(key(0, "part", F.lit(0)))
-    return staged(keyed.withColumn("g", group), "keyed")
+    keyed = staged(keyed.withColumn("g", group), "keyed")
+    discard(points, one, links, parts)
+    return keyed
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -212,5 +221,6 @@ def dedup_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     keyed = grouped(rows.select("row", "id", "text"), n, percent)
     first = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("row").alias("r")))
-    kept = keyed.groupBy("g").agg(first.alias("first")).select(F.col("first.r").alias("row"))
+    kept = staged(keyed.groupBy("g").agg(first.alias("first")).select(F.col("first.r").alias("row")), "kept")
+    discard(keyed)
     return rows.join(kept, "row", "left_semi").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

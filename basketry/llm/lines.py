@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.store import staged
+from basketry.llm.store import discard, staged
 
 
 def lines_of(text: str | None, least: int) -> Iterator[tuple[int, str]]:
@@ -156,7 +156,7 @@ def _each_line(least: int, make, schema: pa.Schema):
 
 
 def near_lines(texts: DataFrame, *, least: int, edits: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """Pairs (a, b) of 128-bit line hashes, a < b, of different lines within `edits` edits; texts has one column."""
+    """Pairs (a, b) of 128-bit line hashes, a < b, of different lines within `edits` edits, staged; texts has one column."""
 
     def signed(x: int) -> int:
         return x - (1 << 64) if x >> 63 else x
@@ -173,16 +173,16 @@ def near_lines(texts: DataFrame, *, least: int, edits: int, broadcast_rows: int
     met = index.join(probe.hint("shuffle_merge"), "key").filter(F.col("ha") != F.col("hb"))
     met = met.filter(_letters_differ(F.col("ka"), F.col("kb")) <= 2 * edits)
     met = staged(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct(), "met")
+    discard(rows)
     wanted = met.select(F.col("ha").alias("h")).unionByName(met.select(F.col("hb").alias("h"))).distinct()
     wanted = staged(wanted, "wanted")
-    if wanted.count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
+    sought = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
 
     def content(hh: bytes, line: str) -> list[tuple]:
         return [(int.from_bytes(hh[:8], "little", signed=True), hh, line)]
 
     schema = pa.schema([("h", pa.int64()), ("hh", pa.binary()), ("line", pa.string())])
-    found = texts.mapInArrow(_each_line(least, content, schema), "h long, hh binary, line string").join(wanted, "h", "left_semi").dropDuplicates(["hh"])
+    found = texts.mapInArrow(_each_line(least, content, schema), "h long, hh binary, line string").join(sought, "h", "left_semi").dropDuplicates(["hh"])
     found = staged(found, "lines")
 
     @F.arrow_udf("boolean")
@@ -192,7 +192,9 @@ def near_lines(texts: DataFrame, *, least: int, edits: int, broadcast_rows: int
     left = found.select(F.col("h").alias("ha"), F.col("hh").alias("a"), F.col("line").alias("line_a"))
     right = found.select(F.col("h").alias("hb"), F.col("hh").alias("b"), F.col("line").alias("line_b"))
     pairs = met.join(left, "ha").join(right, "hb").filter(within("line_a", "line_b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
+    discard(met, wanted, found)
+    return links
 
 
 def line_decisions(rows: DataFrame, *, least: int = 32, edits: int = 2) -> DataFrame:
@@ -222,8 +224,9 @@ def line_decisions(rows: DataFrame, *, least: int = 32, edits: int = 2) -> DataF
     links = near_lines(rows.select("_text"), least=least, edits=edits)
     both = links.join(firsts.select(F.col("hh").alias("a"), F.col("first").alias("first_a")), "a").join(firsts.select(F.col("hh").alias("b"), F.col("first").alias("first_b")), "b")
     later = both.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("hh")).distinct().withColumn("gone", F.lit(True))
-    firsts = staged(firsts.join(later, "hh", "left"), "judged")
-    judged = lines.join(firsts, "hh", "left")
+    judged = staged(firsts.join(later, "hh", "left"), "judged")
+    discard(links, firsts)
+    judged = lines.join(judged, "hh", "left")
     goes = F.col("hh").isNotNull() & (F.coalesce("gone", F.lit(False)) | (F.col("_row") != F.col("first.r")) | (F.col("line") != F.col("first.l")))
     return judged.groupBy("_row").agg(
         F.first("_id").alias("_id"), F.sum("n_lines").alias("n_lines"), F.sort_array(F.collect_list(F.when(goes, F.col("line")))).alias("removed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, exact, jaccard, lines, mixing, ngram, suffixes, toxicity
+from basketry.llm import decontam, exact, jaccard, lines, mixing, ngram, pii, suffixes, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_suffix_dedup, op6_decontaminate, op7_jaccard_join, op8_exact_dedup, op9_lm_scores)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_suffix_dedup, op5_find_pii, op6_decontaminate, op7_jaccard_join, op8_exact_dedup, op9_lm_scores)}
 
 
 OP8_SQL = """

@@ -18,12 +18,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: The folders that staged() has made and nobody has discarded.
+SCRATCH: list[str] = []
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and the known partitioning."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    SCRATCH.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+        at.getFileSystem(conf).delete(at, True)
+        if path in SCRATCH:
+            SCRATCH.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan to come reads: what was made of them has been staged itself."""
+    for df in tables:
+        remove(df.sparkSession, [df._scratch])
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, jaccard, lines, mixing, toxicity
+from basketry.llm import decontam, jaccard, lines, mixing, store, toxicity
 from basketry.llm.store import shared_dir
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def _stage(function):
+    """A stage that first deletes the scratch tables of the stage before: by the contract its result has been written."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        store.remove(spark, _SCRATCH.pop(app, []))
+        before = set(store.SCRATCH)
+        out = function(spark, docs, sf_dir)
+        _SCRATCH[app] = [p for p in store.SCRATCH if p not in before]
+        return out
+
+    return run_stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model trained on labels scores under 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -18,21 +38,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(toxicity.toxicity(model, F.col("text")) < 0.5)
 
 
+@_stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier equal or nearly equal line makes needless; n_chars follows the text."""
     return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@_stage
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are linked at a similarity of 0.8."""
     return jaccard.dedup_near(docs, n=5, percent=80)
 
 
+@_stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not cover half of a benchmark item with tiles."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target and taken (words, repeats counted)."""
     return mixing.take_mix(docs)
