@@ -105,7 +105,7 @@ def candidates(text: Column, kind: str, base: bool) -> Column:
         after = F.lower(F.substring(text, x["e"] + 1, 16))
         around = F.concat(before, F.lit(" "), after)
         good = valid(kind, m) if base else F.lit(False)
-        last = F.lower(F.regexp_extract(m, "([A-Za-z0-9-]+)$", 1))
+        last = F.lower(F.regexp_extract(F.substring(m, -32, 32), "([A-Za-z0-9-]+)$", 1))
         known = {
             "email": _vote(last.isin(*DOMAINS), F.length(last) > 12),
             "ip": _vote(m.rlike("^(?:10|127|172|192)\\.|:"), m.rlike("^0")),
