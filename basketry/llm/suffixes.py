@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.store import ranked, staged
-from basketry.llm.words import as_bytes, in_chunks, mix
+from basketry.llm.store import discard, ranked, staged
+from basketry.llm.words import as_bytes, in_chunks, mix, slices
 
 GRAM = 28  # bytes of an anchor
 CODES = np.random.default_rng(4).integers(0, 2**64, 256, dtype=np.uint64)
@@ -53,7 +53,7 @@ def anchors(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
 
     An anchor is a gram of GRAM bytes with the least hash among those of some string of `length` bytes.
     """
-    for a, b in in_chunks(texts):
+    for a, b in in_chunks(texts, 1 << 19):
         sizes = np.array([len(t) for t in texts[a:b]], np.int64)
         begins = np.concatenate(([0], np.cumsum(sizes)))
         data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
@@ -152,62 +152,80 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 
 def repeat_contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """Every occurrence of an anchor that has another one: ca, cb (hash of its context), row, ord, pos, nl, nr, h, left, right.
+    """Every occurrence of an anchor that has another one: ca, cb (hash of its context), h, row, ord, pos, nl, nr.
 
-    The context is the `length` - GRAM bytes before the anchor (reversed) and the `length` bytes from it on. left and
-    right stand in one row of each task's batch for each context, so copies are combined before they are moved.
+    The context is the `length` - GRAM bytes before the anchor and the `length` bytes from it on; nl and nr are how
+    many of them the text has.
     """
     firsts = texts.filter(~F.col("copy") & (F.col("n_bytes") >= length)).select("row", "ord")
     use = rows.select("row", "text").join(_bounded(firsts, 16 * firsts.count()), "row")
 
     def grams(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             hashes, owners, twice = [], [], []
             for key, (_, h) in zip(batch.column(0).to_numpy(), anchors(as_bytes(batch.column(1)), length), strict=True):
                 one, n = np.unique(h, return_counts=True)
                 hashes.append(one)
                 owners.append(np.full(len(one), key))
                 twice.append(n > 1)
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(twice))], ["h", "ord", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(twice))], ["h", "ord", "twice"])
 
-    found = use.select("ord", "text").mapInArrow(grams, "h long, ord long, twice boolean")
+    found = staged(use.select("ord", "text").mapInArrow(grams, "h long, ord long, twice boolean"), "grams")
     shared = found.groupBy("h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.max("twice").alias("twice")).filter("lo < hi or twice").select("h")
     shared = staged(shared, "shared")
-    own = found.select("h", "ord").join(_bounded(shared, 24 * shared.count()), "h").groupBy("ord").agg(F.collect_list("h").alias("hs"))
+    own = found.select("h", "ord").join(_bounded(shared, 24 * shared.count(), 24 << 20), "h").groupBy("ord").agg(F.collect_list("h").alias("hs"))
     own = staged(own, "own")
+    discard(found, shared)
     size = own.agg(F.sum(8 * F.size("hs") + 32)).first()[0] or 0
 
     def contexts(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            seen: set[bytes] = set()
-            data = as_bytes(batch.column(2))
-            wanted = batch.column(3)
+        before = length - GRAM
+        for batch in (part for b in batches for part in slices(b)):
+            out: list[list] = [[], [], [], [], [], []]
+            data, wanted = as_bytes(batch.column(2)), batch.column(3)
+            digest = xxhash.xxh3_128_digest
             for i, (places, h) in enumerate(anchors(data, length)):
                 keep = np.isin(h, np.asarray(wanted[i].values).view(np.uint64))
-                text, row, order = data[i], batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for p, g in zip(places[keep].tolist(), h[keep].view(np.int64).tolist(), strict=True):
-                    left, right = text[max(0, p - (length - GRAM)) : p][::-1], text[p : p + length]
-                    digest = xxhash.xxh3_128_digest(len(left).to_bytes(2, "big") + left + right)
-                    first = digest not in seen
-                    if first:
-                        seen.add(digest)
-                    ca, cb = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                    out.append((ca, cb, row, order, p, len(left), len(right), g, left if first else None, right if first else None))
-                if len(out) > 100_000:
+                text, p = data[i], places[keep]
+                found = [digest(text[max(0, k - before) : k + length], min(k, before)) for k in p.tolist()]
+                out[0].append(np.frombuffer(b"".join(found), np.int64).reshape(-1, 2))
+                out[1].append(h[keep].view(np.int64))
+                out[2].append(np.full(len(p), batch.column(0)[i].as_py()))
+                out[3].append(np.full(len(p), batch.column(1)[i].as_py()))
+                out[4].append(p)
+                out[5].append(np.minimum(length, len(text) - p))
+            ca, h, row, order, p, nr = (np.concatenate(x) for x in out)
+            cols = [ca[:, 0], ca[:, 1], h, row, order, p.astype(np.int32), np.minimum(p, before).astype(np.int32), nr.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["ca", "cb", "h", "row", "ord", "pos", "nl", "nr"])
+
+    made = use.join(_bounded(own, size), "ord").select("row", "ord", "text", "hs").mapInArrow(contexts, "ca long, cb long, h long, row long, ord long, pos int, nl int, nr int")
+    made = staged(made, "contexts")
+    discard(own)
+    return made
+
+
+def with_bytes(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """Places (row, ord, pos, h, ca, cb) with the context's bytes: right, and left reversed."""
+    lists = places.groupBy("row").agg(F.collect_list(F.struct("ord", "pos", "h", "ca", "cb")).alias("places"))
+    lists = staged(lists, "places")
+    size = lists.agg(F.sum(40 * F.size("places") + 32)).first()[0] or 0
+
+    def run(batches):
+        for batch in (part for b in batches for part in slices(b)):
+            out: list[tuple] = []
+            for text, found in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                out += [(x["h"], text[x["pos"] : x["pos"] + length], text[max(0, x["pos"] - (length - GRAM)) : x["pos"]][::-1], x["ord"], x["pos"], x["ca"], x["cb"]) for x in found]
+                if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CONTEXT, strict=True)], schema=CONTEXT)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CONTEXT, strict=True)], schema=CONTEXT)
 
-    return staged(use.join(_bounded(own, size), "ord").select("row", "ord", "text", "hs").mapInArrow(contexts, CONTEXT_SQL), "contexts")
+    return rows.join(_bounded(lists, size), "row").select("text", "places").mapInArrow(run, CONTEXT_SQL)
 
 
-CONTEXT = pa.schema(
-    [(c, pa.int64()) for c in ("ca", "cb", "row", "ord")] + [(c, pa.int32()) for c in ("pos", "nl", "nr")] + [("h", pa.int64()), ("left", pa.binary()), ("right", pa.binary())]
-)
-CONTEXT_SQL = "ca long, cb long, row long, ord long, pos int, nl int, nr int, h long, left binary, right binary"
+CONTEXT = pa.schema([("h", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("ord", pa.int64()), ("pos", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64())])
+CONTEXT_SQL = "h long, right binary, left binary, ord long, pos long, ca long, cb long"
 
 
 def _buckets(batches) -> Iterator[list[tuple[bytes, bytes, tuple]]]:
@@ -272,22 +290,21 @@ def _windows(length: int):
     return run
 
 
-def context_covers(contexts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """For first occurrences of contexts the covers a..b (around the anchor) that an earlier occurrence of another gives.
+def context_covers(rows: DataFrame, firsts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+    """For the first occurrences of contexts the covers a..b (around the anchor) that an earlier other context gives.
 
-    Contexts are dealt by anchor, sorted by suffix and scanned. An anchor with more than `hot` contexts is not put in
-    one task: its contexts are compared as whole windows, by a count with map-side partial sums, with the same result.
+    firsts has ca, cb, h and first (ord, pos, row). An anchor with one context needs no look at bytes. The contexts
+    of the others are dealt by anchor, sorted by suffix and scanned. An anchor with more than `hot` contexts is not
+    put in one task: its contexts are compared as whole windows, by a minimum with map-side partial results.
     """
-    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = contexts.filter("right is not null").select("h", "right", "left", "ord", "pos", "ca", "cb")
-    many = staged(held.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h"), "many")
-    usual = held.join(F.broadcast(many), "h", "left_anti") if many.count() < 1_000_000 else held.join(many, "h", "left_anti")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = staged(firsts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "many")
+    held = firsts.join(many, "h").select("h", "m", "ca", "cb", "first.*")
+    usual = with_bytes(rows, held.filter(F.col("m") <= hot), length)
     scanned = usual.repartition(n, "h").sortWithinPartitions("h", "right", "left").mapInArrow(_scan(length), "ca long, cb long, a long, b long")
-    split = held.join(many, "h", "left_semi")
-    one = staged(split.groupBy("ca", "cb").agg(F.min(F.struct("ord", "pos")).alias("first")), "one")
-    split = split.join(one, ["ca", "cb"]).filter(F.struct("ord", "pos") == F.col("first")).drop("first")
-    windows = split.mapInArrow(_windows(length), "wa long, wb long, ord long, pos long, ca long, cb long, t long")
-    earliest = staged(windows.groupBy("wa", "wb").agg(F.min(F.struct("ord", "pos")).alias("first")), "windows")
+    windows = with_bytes(rows, held.filter(F.col("m") > hot), length).mapInArrow(_windows(length), "wa long, wb long, ord long, pos long, ca long, cb long, t long")
+    windows = staged(windows, "windows")
+    earliest = staged(windows.groupBy("wa", "wb").agg(F.min(F.struct("ord", "pos")).alias("first")), "earliest")
     later = windows.join(earliest, ["wa", "wb"]).filter(F.struct("ord", "pos") > F.col("first"))
     return scanned.unionByName(later.select("ca", "cb", (-F.col("t")).alias("a"), (length - F.col("t")).alias("b")).distinct())
 
@@ -299,12 +316,11 @@ def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     each of their places. Bytes of UTF-8; null is empty; only the first of equal texts is looked at.
     """
     rows, texts = prepared(docs, id_col, text_col)
-    contexts = repeat_contexts(rows, texts, length)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = contexts.join(contexts.filter("right is not null").groupBy("ca", "cb").agg(F.first("left").alias("l"), F.first("right").alias("r")), ["ca", "cb"])
     # Each occurrence is a context of its own here: its place is made part of the hash.
-    every = every.select("h", F.col("r").alias("right"), F.col("l").alias("left"), "ord", "pos", F.xxhash64("ca", "ord", "pos").alias("ca"), "cb")
-    found = every.repartition(n, "h").sortWithinPartitions("h", "right", "left").mapInArrow(_scan_groups(length), "ord long, begin long, size long, g1 long, g2 long")
+    every = repeat_contexts(rows, texts, length).withColumn("ca", F.xxhash64("ca", "ord", "pos"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = with_bytes(rows, every, length).repartition(n, "h").sortWithinPartitions("h", "right", "left")
+    found = found.mapInArrow(_scan_groups(length), "ord long, begin long, size long, g1 long, g2 long")
     named = found.join(texts.select("ord", F.col("id").alias(id_col)), "ord")
     return named.select(F.struct("g1", "g2", "size").alias("group"), id_col, "begin", "size").distinct()
 
@@ -322,20 +338,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     rows, texts = prepared(docs, id_col, text_col)
     contexts = repeat_contexts(rows, texts, length)
-    firsts = staged(contexts.groupBy("ca", "cb").agg(F.min(F.struct("ord", "pos")).alias("first"), F.count("*").alias("n")), "first-contexts")
-    covers = staged(context_covers(contexts, length, hot), "covers")
+    firsts = contexts.groupBy("ca", "cb").agg(F.min("h").alias("h"), F.min(F.struct("ord", "pos", "row")).alias("first"), F.count("*").alias("n"))
+    firsts = staged(firsts, "first-contexts")
+    covers = staged(context_covers(rows, firsts, length, hot), "covers")
     places = contexts.select("ca", "cb", "row", "ord", "pos", "nl", "nr")
-    again = places.join(firsts.filter("n > 1"), ["ca", "cb"]).filter((F.struct("ord", "pos") > F.col("first")) & (F.col("nl") + F.col("nr") >= length))
+    again = places.join(firsts.filter("n > 1"), ["ca", "cb"]).filter(((F.col("ord") != F.col("first.ord")) | (F.col("pos") != F.col("first.pos"))) & (F.col("nl") + F.col("nr") >= length))
     again = again.select("row", (F.col("pos") - F.col("nl")).cast("long").alias("a"), (F.col("pos") + F.col("nr")).cast("long").alias("b"))
-    at_first = covers.join(firsts, ["ca", "cb"]).join(texts.select(F.col("ord"), "row"), F.col("first.ord") == F.col("ord"))
-    at_first = at_first.select("row", (F.col("first.pos") + F.col("a")).alias("a"), (F.col("first.pos") + F.col("b")).alias("b"))
+    at_first = covers.join(firsts, ["ca", "cb"]).select("first.row", (F.col("first.pos") + F.col("a")).alias("a"), (F.col("first.pos") + F.col("b")).alias("b"))
     whole = texts.filter(F.col("copy") & (F.col("n_bytes") >= length)).select("row", F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b"))
     spans = again.unionByName(at_first).unionByName(whole).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     spans = staged(spans, "spans")
+    discard(contexts, firsts, covers, texts)
     size = spans.agg(F.sum(32 * F.size("spans") + 32)).first()[0] or 0
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             out = []
             for text, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 kept, at, runs, end = [], 0, 0, -1

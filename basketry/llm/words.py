@@ -56,11 +56,11 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, offsets
 
 
-def in_chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK bytes, one text at least."""
+def in_chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes, one text at least."""
     begin = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
+        if size and size + len(t) > most:
             yield begin, i
             begin, size = i, 0
         size += len(t)
@@ -75,6 +75,12 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batch, most: int = 512) -> Iterator:
+    """A record batch a few rows at a time, so that long texts are not all held twice."""
+    for at in range(0, batch.num_rows, most):
+        yield batch.slice(at, most)
+
+
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
     """The hashes of the n-word windows of one run of word hashes; fewer words make one shingle, none make none."""
     if not len(h):
