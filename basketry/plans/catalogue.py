@@ -1,11 +1,15 @@
-"""The queries over the star schema and their SQL."""
+"""The queries over the star schema and their SQL, put together from the modules of queries."""
 
 from __future__ import annotations
 
+from basketry.plans import domain, indices, screening
+
+MODULES = (indices, screening, domain)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
