@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,9 +45,14 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that no plan to come reads: what was made of them has been staged itself."""
+    """Delete staged tables that no plan to come reads: what was made of them has been staged itself.
+
+    Spark deletes shuffle files when the driver's garbage is collected, so that is asked for.
+    """
     for df in tables:
         remove(df.sparkSession, [df._scratch])
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:

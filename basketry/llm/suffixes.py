@@ -103,33 +103,41 @@ def intervals(rights: list[bytes]) -> Iterator[tuple[int, int, int]]:
             stack.append((lcp, first))
 
 
-def bucket_covers(contexts: list[tuple[bytes, bytes, tuple]], length: int) -> tuple[dict[int, list[tuple[int, int]]], list[tuple[int, int, int, int]]]:
-    """Covers and maximal repeats of the contexts of one anchor: (right, left reversed, place), sorted.
+def bucket_covers(contexts: list[tuple[bytes, bytes, tuple]], length: int) -> dict[int, tuple[int, int]]:
+    """The covers of the contexts of one anchor: (right, left reversed, place), sorted; {member: (begin, end)}.
 
     For every interval of suffixes that share l bytes to the right, each member is set against the earlier ones: the
     longest left extension it shares with one of them. If left and right make up `length`, the bytes from -left to l
-    around its anchor repeat. Neighbours alone would miss this: any earlier member of the interval counts.
-
-    Returns {member: [(begin, end) around the anchor]} and the maximal repeats (left, l, first, last): intervals whose
-    members, beyond `left` bytes, differ to the left.
+    around its anchor repeat. Neighbours alone would miss this: any earlier member of the interval counts. All covers
+    of a member hold the anchor, so together they are one run of bytes. Intervals come longest first, so a member
+    whose whole left context is covered gains nothing from a wider interval.
     """
-    covers: dict[int, list[tuple[int, int]]] = {}
-    repeats = []
+    covers: dict[int, tuple[int, int]] = {}
     for right, first, last in intervals([c[0] for c in contexts]):
-        members = range(first, last + 1)
-        lefts = [contexts[i][1] for i in members]
-        shared = common(min(lefts), max(lefts))
-        if shared + right >= length:
-            repeats.append((shared, right, first, last))
+        members = sorted(range(first, last + 1), key=lambda i: contexts[i][2])
+        if all(i in covers and -covers[i][0] == len(contexts[i][1]) for i in members[1:]):
+            continue
         seen: list[bytes] = []
-        for i in sorted(members, key=lambda i: contexts[i][2]):
+        for i in members:
             left = contexts[i][1]
             at = bisect_left(seen, left)
             best = max((common(left, x) for x in seen[max(0, at - 1) : at + 1]), default=-1)
             if best >= 0 and best + right >= length:
-                covers.setdefault(i, []).append((-best, right))
+                a, b = covers.get(i, (0, 0))
+                covers[i] = (min(a, -best), max(b, right))
             insort(seen, left)
-    return covers, repeats
+    return covers
+
+
+def maximal_repeats(contexts: list[tuple[bytes, bytes, tuple]], length: int) -> list[tuple[int, int, int, int]]:
+    """(left, right, first, last) of the intervals that make up `length` and whose members differ beyond `left` bytes to the left."""
+    out = []
+    for right, first, last in intervals([c[0] for c in contexts]):
+        lefts = [contexts[i][1] for i in range(first, last + 1)]
+        shared = common(min(lefts), max(lefts))
+        if shared + right >= length:
+            out.append((shared, right, first, last))
+    return out
 
 
 def _bounded(df: DataFrame, size: int, limit: int = 48 << 20) -> DataFrame:
@@ -251,8 +259,7 @@ def _scan(length: int):
     def run(batches):
         out = []
         for bucket in _buckets(batches):
-            covers, _ = bucket_covers(bucket, length)
-            out += [(bucket[i][2][2], bucket[i][2][3], a, b) for i, found in covers.items() for a, b in found]
+            out += [(bucket[i][2][2], bucket[i][2][3], a, b) for i, (a, b) in bucket_covers(bucket, length).items()]
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["ca", "cb", "a", "b"])
                 out = []
@@ -265,7 +272,7 @@ def _scan(length: int):
 def _scan_groups(length: int):
     def run(batches):
         for bucket in _buckets(batches):
-            _, repeats = bucket_covers(bucket, length)
+            repeats = maximal_repeats(bucket, length)
             out = [(order, pos - left, left + right) + key for left, right, first, last in repeats for key in [bucket[first][2][:2]] for order, pos, *_ in (bucket[i][2] for i in range(first, last + 1))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["ord", "begin", "size", "g1", "g2"])
@@ -301,7 +308,10 @@ def context_covers(rows: DataFrame, firsts: DataFrame, length: int, hot: int = H
     many = staged(firsts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "many")
     held = firsts.join(many, "h").select("h", "m", "ca", "cb", "first.*")
     usual = with_bytes(rows, held.filter(F.col("m") <= hot), length)
+    split = not many.filter(F.col("m") > hot).isEmpty()
     scanned = usual.repartition(n, "h").sortWithinPartitions("h", "right", "left").mapInArrow(_scan(length), "ca long, cb long, a long, b long")
+    if not split:
+        return scanned
     windows = with_bytes(rows, held.filter(F.col("m") > hot), length).mapInArrow(_windows(length), "wa long, wb long, ord long, pos long, ca long, cb long, t long")
     windows = staged(windows, "windows")
     earliest = staged(windows.groupBy("wa", "wb").agg(F.min(F.struct("ord", "pos")).alias("first")), "earliest")
