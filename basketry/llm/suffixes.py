@@ -17,7 +17,7 @@ from basketry.llm.words import as_bytes, in_chunks, mix, slices
 
 GRAM = 28  # bytes of an anchor
 CODES = np.random.default_rng(4).integers(0, 2**64, 256, dtype=np.uint64)
-HOT = 20_000  # contexts of an anchor beyond which it is split by whole windows
+HOT = 60_000  # contexts of an anchor beyond which it is split by whole windows
 
 
 def _joined(data: np.ndarray, size: int) -> np.ndarray:
@@ -284,7 +284,7 @@ def _windows(length: int):
     """Whole windows of contexts: wa, wb (their hash), place of the context, and the offset before the anchor."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 256)):
             out = []
             for ca, cb, order, pos, left, right in zip(*(batch.column(c).to_pylist() for c in ("ca", "cb", "ord", "pos", "left", "right")), strict=True):
                 text, n = left[::-1] + right, len(left)
