@@ -47,10 +47,11 @@ def take_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), *, text_col:
 
     Keeps the columns of docs; what is added replaces a column of the same name.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[F.col(f"`{c}`") for c in {text_col, options.get("id_col", "doc_id"), options.get("source_col", "source")}])
+    used = {text_col, options.get("id_col", "doc_id"), options.get("source_col", "source")}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[F.col(f"`{c}`") for c in sorted(used)])
     rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     added = ["size", "source_size", "target", "taken"]
-    taken = mix_rows(rows, weights, size=word_count(F.col(text_col)), **options).filter("taken > 0").select("_row", *added)
+    taken = mix_rows(rows, weights, size=word_count(F.col(text_col)), row_col="_row", **options).filter("taken > 0").select("_row", *added)
     return rows.select("_row", "_doc").join(taken, "_row").select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
@@ -63,6 +64,7 @@ def mix_rows(
     size: Column | None = None,
     cap: float = 3.0,
     seed: int = 2,
+    row_col: str | None = None,
 ) -> DataFrame:
     """How many words of each document a mix with the given source weights takes.
 
@@ -74,14 +76,14 @@ def mix_rows(
     The order is cut without sorting a source in one task: words are summed in fine bins of the rank's logarithm, the
     bin where the rest is filled is found from these sums, and only the documents of that bin are put in order.
 
-    Returns one row per row of docs: _row (its number, or that of docs' column _row), id_col, source_col, size,
+    Returns one row per row of docs: _row (its number, or its row_col), id_col, source_col, size,
     source_size, target, taken. Null text or size counts
     0 words and takes 0; a null source is a source of its own, last in order; rows with the same id are separate
     documents with the same random number, ordered by size; an empty table gives no row; other columns are ignored.
     """
     n_words = F.coalesce((word_count(F.col("text")) if size is None else size).cast("long"), F.lit(0))
     source = F.col(source_col).cast("string")
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id().alias("_row")
+    row = (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row")
     rows = staged(docs.select(F.col(id_col).alias("_id"), source.isNull().alias("_null"), F.coalesce(source, F.lit("")).alias("_src"), n_words.alias("_size"), row), "sizes")
     sums = rows.groupBy("_null", "_src").agg(F.sum("_size").alias("source_size"), F.count("*").alias("_docs"))
     key = ["_null", "_src"]

@@ -42,7 +42,7 @@ class ToxicityModel:
             doc = np.searchsorted(offsets, at, side="right") - 1
             pair = np.unique(doc.astype(np.int64) * len(self.features) + feature[at])
             doc, feature = pair // max(1, len(self.features)), pair % max(1, len(self.features))
-            z = np.bincount(doc, self.w[feature], b - a)
+            z = np.bincount(doc, self.w[feature], b - a).astype(float)
             for k in range(self.v.shape[1]):
                 f = self.v[feature, k]
                 z += 0.5 * (np.bincount(doc, f, b - a) ** 2 - np.bincount(doc, f * f, b - a))
