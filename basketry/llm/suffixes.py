@@ -319,17 +319,18 @@ def context_covers(rows: DataFrame, firsts: DataFrame, length: int, hot: int = H
     return scanned.unionByName(later.select("ca", "cb", (-F.col("t")).alias("a"), (length - F.col("t")).alias("b")).distinct())
 
 
-def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """Maximal repeats of `length` bytes or more around anchors, with all their places: group, id_col, begin, size.
+def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, reach: int = 2000) -> DataFrame:
+    """Maximal repeats of `length` bytes or more, with all their places: group, id_col, begin, size.
 
-    A group is a common-prefix interval whose members differ to the left. Contexts that are equal as a whole stand at
-    each of their places. Bytes of UTF-8; null is empty; only the first of equal texts is looked at.
+    A group is a common-prefix interval of the suffixes at an anchor whose members differ to the left; it is followed
+    up to `reach` bytes to either side of the anchor, so a longer repeat is told in overlapping parts. Bytes of UTF-8;
+    null is empty; only the first of equal texts is looked at; an empty table gives no row.
     """
     rows, texts = prepared(docs, id_col, text_col)
     # Each occurrence is a context of its own here: its place is made part of the hash.
     every = repeat_contexts(rows, texts, length).withColumn("ca", F.xxhash64("ca", "ord", "pos"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = with_bytes(rows, every, length).repartition(n, "h").sortWithinPartitions("h", "right", "left")
+    found = with_bytes(rows, every, reach).repartition(n, "h").sortWithinPartitions("h", "right", "left")
     found = found.mapInArrow(_scan_groups(length), "ord long, begin long, size long, g1 long, g2 long")
     named = found.join(texts.select("ord", F.col("id").alias(id_col)), "ord")
     return named.select(F.struct("g1", "g2", "size").alias("group"), id_col, "begin", "size").distinct()
