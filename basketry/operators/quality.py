@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ITEM = Window.partitionBy("item_id").orderBy("period")
+
+def by_item() -> WindowSpec:
+    """An item's rows in time."""
+    return Window.partitionBy("item_id").orderBy("period")
 
 
 def recode_missing(panel: DataFrame, codes: Sequence[float] = (0.0,)) -> DataFrame:
@@ -18,7 +21,7 @@ def recode_missing(panel: DataFrame, codes: Sequence[float] = (0.0,)) -> DataFra
 
 def local_reference(price: str, window: int = 13, least: int = 3) -> Column:
     """The centred rolling median of an item's rows, null with fewer than `least` prices."""
-    w = ITEM.rowsBetween(-(window // 2), (window - 1) // 2)
+    w = by_item().rowsBetween(-(window // 2), (window - 1) // 2)
     return F.when(F.count(price).over(w) >= least, F.percentile(price, 0.5).over(w))
 
 
@@ -60,21 +63,23 @@ def classify_gaps(panel: DataFrame, share: float = 0.8, months: int = 8) -> Data
 
 def price_relatives(panel: DataFrame, price: str = "price") -> DataFrame:
     """period, category, item_id, price, before, ratio, log_ratio against the item's last priced row, at any distance."""
-    p = panel.filter(F.col(price) > 0).select("period", "category", "item_id", F.col(price).alias("price"), F.lag(price).over(ITEM).alias("before"))
+    p = panel.filter(F.col(price) > 0).select("period", "category", "item_id", F.col(price).alias("price"), F.lag(price).over(by_item()).alias("before"))
     p = p.filter("before is not null").withColumn("ratio", F.col("price") / F.col("before"))
     return p.withColumn("log_ratio", F.ln("ratio"))
 
 
-CELL = Window.partitionBy("period", "category")
+def by_cell() -> WindowSpec:
+    """The quotes of a category in a period."""
+    return Window.partitionBy("period", "category")
 
 
 def _quartiles(value: str) -> Column:
-    return F.percentile(value, [0.25, 0.5, 0.75]).over(CELL)
+    return F.percentile(value, [0.25, 0.5, 0.75]).over(by_cell())
 
 
 def tukey_fences(relatives: DataFrame, k: float = 1.5, deadband: float = 5.0, least: int = 5) -> DataFrame:
     """Log ratios outside the quartiles by k interquartile ranges, and further than deadband % from the median."""
-    r = relatives.withColumn("q", _quartiles("log_ratio")).withColumn("n", F.count("*").over(CELL))
+    r = relatives.withColumn("q", _quartiles("log_ratio")).withColumn("n", F.count("*").over(by_cell()))
     q1, m, q3 = (F.col("q")[i] for i in range(3))
     spread = q3 - q1
     outside = (F.col("log_ratio") < q1 - k * spread) | (F.col("log_ratio") > q3 + k * spread)
@@ -83,7 +88,7 @@ def tukey_fences(relatives: DataFrame, k: float = 1.5, deadband: float = 5.0, le
 
 def quartile_screen(relatives: DataFrame, k: float = 2.5, deadband: float = 5.0, least: int = 5) -> DataFrame:
     """Ratios beyond k half-spreads from the median on their side; a side without spread is unbounded."""
-    r = relatives.withColumn("q", _quartiles("ratio")).withColumn("n", F.count("*").over(CELL))
+    r = relatives.withColumn("q", _quartiles("ratio")).withColumn("n", F.count("*").over(by_cell()))
     q1, m, q3 = (F.col("q")[i] for i in range(3))
     low, high = m - k * (m - q1), m + k * (q3 - m)
     outside = ((m - q1 > 0) & (F.col("ratio") < low)) | ((q3 - m > 0) & (F.col("ratio") > high))
@@ -92,7 +97,7 @@ def quartile_screen(relatives: DataFrame, k: float = 2.5, deadband: float = 5.0,
 
 def hidiroglou_berthelot(relatives: DataFrame, c: float = 4.0, u: float = 0.5, floor: float = 0.05, least: int = 5) -> DataFrame:
     """Size-weighted symmetric ratios outside c spreads of their median; a spread is floor x the median at least."""
-    r = relatives.withColumn("m", F.percentile("ratio", 0.5).over(CELL)).withColumn("n", F.count("*").over(CELL))
+    r = relatives.withColumn("m", F.percentile("ratio", 0.5).over(by_cell())).withColumn("n", F.count("*").over(by_cell()))
     s = F.when(F.col("ratio") < F.col("m"), 1 - F.col("m") / F.col("ratio")).otherwise(F.col("ratio") / F.col("m") - 1)
     r = r.withColumn("e", s * F.pow(F.greatest("price", "before"), F.lit(u))).withColumn("q", _quartiles("e"))
     q1, m, q3 = (F.col("q")[i] for i in range(3))
@@ -119,7 +124,7 @@ def apply_decisions(panel: DataFrame, decisions: DataFrame, price: str = "price"
 
 def carry_forward(panel: DataFrame, price: str = "price_clean") -> DataFrame:
     """Adds price_imputed and imputation: the item's last price."""
-    last = F.last(price, ignorenulls=True).over(ITEM.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(price, ignorenulls=True).over(by_item().rowsBetween(Window.unboundedPreceding, 0))
     return panel.withColumn("price_imputed", last).withColumn("imputation", F.when(F.col(price).isNull() & last.isNotNull(), "carry_forward"))
 
 
@@ -151,7 +156,7 @@ def impute_by_movement(panel: DataFrame, method: str = "class_mean", price: str
     p = panel.withColumn("_cell", F.lit("all") if method == "overall_mean" else F.col("category"))
     moves = _movements(p, price, "_cell", method == "class_mean")
     p = p.join(moves, ["_cell", "period"], "left")
-    seen = ITEM.rowsBetween(Window.unboundedPreceding, 0)
+    seen = by_item().rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col(price).isNotNull(), F.struct(F.col(price).alias("p"), "total", "gaps")), ignorenulls=True).over(seen)
     p = p.withColumn("_last", last)
     fill = F.col("_last.p") * F.exp(F.col("total") - F.col("_last.total"))
