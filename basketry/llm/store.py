@@ -34,6 +34,15 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write df as a table of the warehouse that is bucketed by key: joins on key do not move its rows again."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"basketry_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch folders."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

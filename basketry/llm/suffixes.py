@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.store import discard, ranked, staged
+from basketry.llm.store import bucketed, discard, ranked, staged
 from basketry.llm.words import as_bytes, in_chunks, mix, slices
 
 GRAM = 28  # bytes of an anchor
@@ -140,18 +140,14 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes, tuple]], length: int) ->
     return out
 
 
-def _bounded(df: DataFrame, size: int, limit: int = 48 << 20) -> DataFrame:
-    """df to be broadcast if its `size` bytes are within the limit; otherwise as it is."""
-    return F.broadcast(df) if size <= limit else df
-
-
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """rows (row, id, text) and texts (row, id, ord, n_bytes, hash, copy): ord is the order of (id, row), null last.
 
-    copy tells rows whose whole text came before.
+    copy tells rows whose whole text came before. rows is bucketed by row: texts are moved once, here, and what is
+    found out about them later is brought to them.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = staged(rows, "rows")
+    rows = bucketed(rows, "row")
     texts = rows.select("row", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("hash"))
     texts = ranked(texts, [F.col("id").isNull(), F.col("id"), F.col("row")], "ord")
     texts = staged(texts, "texts")
@@ -166,7 +162,7 @@ def repeat_contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame
     many of them the text has.
     """
     firsts = texts.filter(~F.col("copy") & (F.col("n_bytes") >= length)).select("row", "ord")
-    use = rows.select("row", "text").join(_bounded(firsts, 16 * firsts.count()), "row")
+    use = rows.select("row", "text").join(firsts, "row")
 
     def grams(batches):
         for batch in (part for b in batches for part in slices(b)):
@@ -176,15 +172,13 @@ def repeat_contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame
                 hashes.append(one)
                 owners.append(np.full(len(one), key))
                 twice.append(n > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(twice))], ["h", "ord", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(twice))], ["h", "row", "twice"])
 
-    found = staged(use.select("ord", "text").mapInArrow(grams, "h long, ord long, twice boolean"), "grams")
-    shared = found.groupBy("h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.max("twice").alias("twice")).filter("lo < hi or twice").select("h")
+    found = staged(use.select("row", "text").mapInArrow(grams, "h long, row long, twice boolean"), "grams")
+    shared = found.groupBy("h").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.max("twice").alias("twice")).filter("lo < hi or twice").select("h")
     shared = staged(shared, "shared")
-    own = found.select("h", "ord").join(_bounded(shared, 24 * shared.count(), 24 << 20), "h").groupBy("ord").agg(F.collect_list("h").alias("hs"))
-    own = staged(own, "own")
+    own = staged(found.select("h", "row").join(shared, "h").groupBy("row").agg(F.collect_list("h").alias("hs")), "own")
     discard(found, shared)
-    size = own.agg(F.sum(8 * F.size("hs") + 32)).first()[0] or 0
 
     def contexts(batches):
         before = length - GRAM
@@ -206,7 +200,7 @@ def repeat_contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame
             cols = [ca[:, 0], ca[:, 1], h, row, order, p.astype(np.int32), np.minimum(p, before).astype(np.int32), nr.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["ca", "cb", "h", "row", "ord", "pos", "nl", "nr"])
 
-    made = use.join(_bounded(own, size), "ord").select("row", "ord", "text", "hs").mapInArrow(contexts, "ca long, cb long, h long, row long, ord long, pos int, nl int, nr int")
+    made = use.join(own, "row").select("row", "ord", "text", "hs").mapInArrow(contexts, "ca long, cb long, h long, row long, ord long, pos int, nl int, nr int")
     made = staged(made, "contexts")
     discard(own)
     return made
@@ -215,8 +209,6 @@ def repeat_contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame
 def with_bytes(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """Places (row, ord, pos, h, ca, cb) with the context's bytes: right, and left reversed."""
     lists = places.groupBy("row").agg(F.collect_list(F.struct("ord", "pos", "h", "ca", "cb")).alias("places"))
-    lists = staged(lists, "places")
-    size = lists.agg(F.sum(40 * F.size("places") + 32)).first()[0] or 0
 
     def run(batches):
         for batch in (part for b in batches for part in slices(b)):
@@ -229,7 +221,7 @@ def with_bytes(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CONTEXT, strict=True)], schema=CONTEXT)
 
-    return rows.join(_bounded(lists, size), "row").select("text", "places").mapInArrow(run, CONTEXT_SQL)
+    return rows.join(lists, "row").select("text", "places").mapInArrow(run, CONTEXT_SQL)
 
 
 CONTEXT = pa.schema([("h", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("ord", pa.int64()), ("pos", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64())])
@@ -360,7 +352,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = again.unionByName(at_first).unionByName(whole).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     spans = staged(spans, "spans")
     discard(contexts, firsts, covers, texts)
-    size = spans.agg(F.sum(32 * F.size("spans") + 32)).first()[0] or 0
 
     def cut(batches):
         for batch in (part for b in batches for part in slices(b)):
@@ -381,5 +372,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    joined = rows.join(_bounded(spans, size), "row", "left").select("id", "text", "spans")
+    joined = rows.join(spans, "row", "left").select("id", "text", "spans")
     return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
