@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from basketry.plans import domain, indices, screening
+from basketry.plans import domain, indices, models, screening
 
-MODULES = (indices, screening, domain)
+MODULES = (indices, screening, domain, models)
 
 
 def queries() -> dict:
