@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from basketry.plans import domain, indices, models, screening
+from basketry.plans import domain, indices, models, screening, seasons
 
-MODULES = (indices, screening, domain, models)
+MODULES = (indices, screening, domain, models, seasons)
 
 
 def queries() -> dict:
