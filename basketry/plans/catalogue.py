@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from basketry.plans import domain, indices, models, screening, seasons
+from basketry.plans import domain, governed, indices, models, screening, seasons
 
-MODULES = (indices, screening, domain, models, seasons)
+MODULES = (indices, screening, domain, models, seasons, governed)
 
 
 def queries() -> dict:
