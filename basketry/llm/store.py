@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the cluster shares: spark.checkpoint.dir, or a temporary one of our own where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/basketry-stage"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return found or f"file://{tempfile.gettempdir()}/basketry-stage"
 
 
 #: The folders that staged() has made and nobody has discarded.
