@@ -109,6 +109,21 @@ def test_pairs_of_terms_are_learned():
     assert ((z > 0) == (y > 0.5)).mean() > 0.95
 
 
+def test_pairs_and_rare_terms_reach_training(spark):
+    """A pair whose members tell nothing alone, and a term of three rows, among 5,000 other words."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(4000):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 10)]
+        rows.append((i, " ".join(words + ["insult"] * (i % 2) + ["group"] * (i // 2 % 2)), int(i % 2 == i // 2 % 2)))
+    rows += [(4000 + i, "rareterm insult", 1) for i in range(3)]  # alone, an insult without a group is clean
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    neither, insult, group, both, rare = model.scores([b"w", b"w insult", b"w group", b"w insult group", b"rareterm insult"])
+    assert min(neither, both) > 0.7 and max(insult, group) < 0.3
+    assert rare > insult + 0.01
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
