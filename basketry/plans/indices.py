@@ -77,9 +77,9 @@ def queries() -> dict:
         "ml_pairs": lambda s, d: rounded(multilateral.log_pairs(panels.dense_panel(s, d).filter("period < '1996-01-01'"))),
         "ml_geks": lambda s, d: rounded(multilateral.geks(panels.dense_panel(s, d).filter("period < '1997-02-01'"))),
         "ml_geks_tornqvist": lambda s, d: rounded(multilateral.geks(panels.sparse_panel(s, d).filter("period < '1997-02-01'"), "tornqvist")),
-        "ml_tpd": lambda s, d: rounded(multilateral.time_product_dummy(panels.sparse_panel(s, d).filter("period < '1997-02-01'"))),
-        "ml_wtpd": lambda s, d: rounded(multilateral.time_product_dummy(panels.sparse_panel(s, d).filter("period < '1997-02-01'"), weighted=True)),
-        "ml_gk": lambda s, d: rounded(multilateral.geary_khamis(panels.sparse_panel(s, d).filter("period < '1997-02-01'"))),
+        "ml_tpd": lambda s, d: rounded(multilateral.time_product_dummy(panels.sparse_panel(s, d))),
+        "ml_wtpd": lambda s, d: rounded(multilateral.time_product_dummy(panels.sparse_panel(s, d), weighted=True)),
+        "ml_gk": lambda s, d: rounded(multilateral.geary_khamis(panels.sparse_panel(s, d))),
         "ml_extend": lambda s, d: rounded(multilateral.extend(panels.dense_panel(s, d), window=13, splice="mean")),
     }
     return out

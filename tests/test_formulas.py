@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from basketry.functions.formulas import BILATERAL, ELEMENTARY
 from basketry.operators import domain, index, multilateral, quality
+from basketry.plans import indices
+from basketry.sources import panels
 
 
 def month(k):
@@ -140,3 +142,27 @@ def test_proportional_prices(spark, k):
     rows = [(0, "c", i, p, 1.0) for i, p in (("a", 1.0), ("b", 3.0))] + [(1, "c", i, p * k, 1.0) for i, p in (("a", 1.0), ("b", 3.0))]
     for name in ("jevons", "dutot", "carli", "fisher", "tornqvist"):
         assert math.isclose(index.links(panel(spark, rows), name).filter("link is not null").first()["link"], k, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["ml_tpd", "ml_wtpd", "ml_gk"])
+def test_multilateral_queries_cover_all_periods(spark, name):
+    folder = "/root/testdata/sf0.001"
+    want = {r["period"] for r in multilateral.unit_value_panel(panels.sparse_panel(spark, folder)).select("period").distinct().collect()}
+    got = {r["period"]: r["index"] for r in indices.queries()[name](spark, folder).collect()}
+    assert set(got) == want and max(want) > dt.date(1998, 1, 1)
+    assert all(x > 0 for x in got.values())
+
+
+def test_time_product_dummy_over_all_periods(spark):
+    folder = "/root/testdata/sf0.001"
+    cells = multilateral.unit_value_panel(panels.sparse_panel(spark, folder)).collect()
+    times, items = sorted({r["period"] for r in cells}), sorted({r["item_id"] for r in cells})
+    x = np.zeros((len(cells), len(times) - 1 + len(items)))
+    for k, r in enumerate(cells):
+        if t := times.index(r["period"]):
+            x[k, t - 1] = 1
+        x[k, len(times) - 1 + items.index(r["item_id"])] = 1
+    effects = np.linalg.lstsq(x, np.log([r["price"] for r in cells]), rcond=None)[0]
+    got = {r["period"]: r["index"] for r in indices.queries()["ml_tpd"](spark, folder).collect()}
+    assert len(got) == len(times)
+    assert all(math.isclose(got[t], 100 * math.exp(e), rel_tol=1e-5) for t, e in zip(times[1:], effects))
