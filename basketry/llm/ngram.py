@@ -66,7 +66,7 @@ class Shape:
     total: int = 0
     known: int = 0
     prior: float = 4.0
-    least: tuple[int, ...] = (1, 2, 8)  # the counts from which a level keeps an n-gram; the last holds for further levels
+    least: tuple[int, ...] = (1, 2, 2)  # the counts from which a level keeps an n-gram; the last holds for further levels
 
     def kept(self, m: int) -> int:
         return self.least[min(m, len(self.least)) - 1]
@@ -264,7 +264,7 @@ def _score(shape: Shape, id_type: pa.DataType):
     return run
 
 
-def score_texts(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, prior: float = 4.0, least: tuple[int, ...] = (1, 2, 8)) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, prior: float = 4.0, least: tuple[int, ...] = (1, 2, 2)) -> DataFrame:
     """log10 probabilities of all texts under an n-gram model of those that are not held out.
 
     Tokens are words (runs of bytes other than white space, A-Z lower-cased) and one end for each text; the first word

@@ -449,3 +449,13 @@ def test_quotes_are_linked(spark):
     assert got[1, 4]["path"] == [0, 1, 2, 4] and got[1, 4]["depth"] == 3
     assert got[1, 1]["body"] == "Fine." and got[1, 2]["body"] == "Good to hear" and got[2, 0]["body"] == "5 > 3"
     assert (got[1, 2]["n_quotes"], got[1, 2]["n_linked"]) == (2, 2)
+
+
+def test_triples_counted_twice_count(spark):
+    """A phrase that training holds three times, whose pairs also stand elsewhere, is scored from its triple."""
+    rows = [(i, "one two three") for i in range(3)] + [(10 + i, "one two four") for i in range(9)] + [(30 + i, "six two three") for i in range(9)]
+    rows += [(99, "one two three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda **how: {r["doc_id"]: r["score"] for r in ngram.score_texts(df, F.col("doc_id") == 99, **how).collect()}[99]
+    assert math.isclose(score(), score(least=(1, 2, 2)), rel_tol=1e-9)
+    assert not math.isclose(score(), score(least=(1, 2, 8)), rel_tol=1e-3)
