@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.store import discard, staged
+from basketry.llm.store import discard, ranked, staged
 
 
 def lines_of(text: str | None, least: int) -> Iterator[tuple[int, str]]:
@@ -54,10 +54,49 @@ def segment_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
     return own, probes
 
 
-def letters(line: str) -> int:
-    """How often characters of eight kinds occur, modulo 256 each, as a signed 64-bit number. An edit moves two by one at most."""
-    kinds = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) & 7, minlength=8)
-    return int((kinds & 255).astype(np.uint8).view(np.int64)[0])
+@cache
+def _dealt(total: int, most: int, bins: int, low: int) -> list[tuple[int, ...]]:
+    """All ways to write `total` as `bins` numbers from low to most each."""
+    if not bins:
+        return [()] if not total else []
+    return [(x, *rest) for x in range(low, most + 1) for rest in _dealt(total - x, most, bins - 1, low)]
+
+
+#: Free stretches of the shorter line, flat: begin, end, edits that it may hold, letters that the longer line has more there.
+Spec = tuple[int, ...]
+
+
+def split_spec(spec: Spec, parts: int, own: bool) -> Iterator[Spec]:
+    """Specs with each free stretch cut in `parts` and its edits dealt to the pieces; pieces without edits are no longer free.
+
+    For an own line the longer line is itself. Two lines that a spec lets differ by their edits also meet in one of its
+    pieces' specs, as each edit falls in a piece (an insertion at a cut in either).
+    """
+    out: list[Spec] = [()]
+    for at in range(0, len(spec), 4):
+        lo, hi, edits, more = spec[at : at + 4]
+        n = max(1, min(parts, hi - lo))
+        cuts = [(lo + b, lo + b + size) for b, size in segments(hi - lo, n)]
+        ways = []
+        for dealt in _dealt(edits, edits, n, 0):
+            free = [(cut, e) for cut, e in zip(cuts, dealt, strict=True) if e]
+            for shift in [(0,) * len(free)] if own else _dealt(more, edits, len(free), -edits):
+                if all(abs(x) <= e for x, (_, e) in zip(shift, free, strict=True)):
+                    ways.append(tuple(v for (cut, e), x in zip(free, shift, strict=True) for v in (*cut, e, x)))
+        out = [a + b for a in out for b in ways]
+    yield from out
+
+
+def spec_key(line: str, short: int, spec: Spec) -> int:
+    """The hash of what is not free: lines that can differ by the free stretches alone have the same one."""
+    fixed, at, more = [], 0, 0
+    for k in range(0, len(spec), 4):
+        lo, hi, _, x = spec[k : k + 4]
+        fixed.append(line[at + more : lo + more])
+        at, more = hi, more + x
+    fixed.append(line[at + more :])
+    shape = [short, *(v for k in range(0, len(spec), 4) for v in spec[k : k + 3])]
+    return xxhash.xxh3_64_intdigest("\n".join([*fixed, repr(shape)]).encode("utf-8", "surrogatepass"))
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -118,15 +157,6 @@ def plain_distance(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def _letters_differ(x: Column, y: Column) -> Column:
-    """The sum over eight counters of their distance modulo 256."""
-    total = F.lit(0)
-    for k in range(8):
-        d = F.abs(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, 8 * k).bitwiseAND(F.lit(255)))
-        total = total + F.least(d, F.lit(256) - d)
-    return total
-
-
 def _values(column: pa.Array, step: int = 256) -> Iterator:
     """The values of a column, a few at a time, so that a batch of long texts is not held twice."""
     for at in range(0, len(column), step):
@@ -155,54 +185,158 @@ def _each_line(least: int, make, schema: pa.Schema):
     return run
 
 
-def near_lines(texts: DataFrame, *, least: int, edits: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """Pairs (a, b) of 128-bit line hashes, a < b, of different lines within `edits` edits, staged; texts has one column."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
+
+def shared_keys(texts: DataFrame, least: int, edits: int) -> DataFrame:
+    """Rows (key, h, own) of the segment keys at which a line's own segment meets another line; h is a line's 64-bit hash.
+
+    All rows are dealt by key once. A key of which a sample of lines (one in 64) holds a thousandth or more is not
+    dealt: there are a thousand such keys at most, and their rows are all kept.
+    """
 
     def keys(hh: bytes, line: str) -> list[tuple]:
-        h, kinds = int.from_bytes(hh[:8], "little", signed=True), letters(line)
+        h = int.from_bytes(hh[:8], "little", signed=True)
         own, probes = segment_keys(line, edits)
-        return [(signed(k), h, kinds, True) for k in own] + [(signed(k), h, kinds, False) for k in probes]
-
-    schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("kinds", pa.int64()), ("own", pa.bool_())])
-    rows = staged(texts.mapInArrow(_each_line(least, keys, schema), "key long, h long, kinds long, own boolean"), "keys")
-    index = rows.filter("own").select("key", F.col("h").alias("ha"), F.col("kinds").alias("ka"))
-    probe = rows.select("key", F.col("h").alias("hb"), F.col("kinds").alias("kb"))
-    met = index.join(probe.hint("shuffle_merge"), "key").filter(F.col("ha") != F.col("hb"))
-    met = met.filter(_letters_differ(F.col("ka"), F.col("kb")) <= 2 * edits)
-    met = staged(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct(), "met")
+        return [(_signed(k), h, True) for k in own] + [(_signed(k), h, False) for k in probes]
+
+    schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("own", pa.bool_())])
+    rows = staged(texts.mapInArrow(_each_line(least, keys, schema), "key long, h long, own boolean"), "keys")
+    sample = rows.filter(F.pmod(F.xxhash64("h"), F.lit(64)) == 0)
+    floor = max(1000, sample.count() // 1000)
+    heavy = [r["key"] for r in sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= floor).collect()]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = (rows.filter(~F.col("key").isin(heavy)) if heavy else rows).repartition(n, "key")
+    met = usual.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("any")).filter("lo < hi and any").select("key")
+    found = usual.join(met.hint("shuffle_merge"), "key")
+    if heavy:
+        found = found.unionByName(rows.filter(F.col("key").isin(heavy)))
+    out = staged(found, "shared")
     discard(rows)
-    wanted = met.select(F.col("ha").alias("h")).unionByName(met.select(F.col("hb").alias("h"))).distinct()
-    wanted = staged(wanted, "wanted")
-    sought = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    return out
 
-    def content(hh: bytes, line: str) -> list[tuple]:
-        return [(int.from_bytes(hh[:8], "little", signed=True), hh, line)]
 
-    schema = pa.schema([("h", pa.int64()), ("hh", pa.binary()), ("line", pa.string())])
-    found = texts.mapInArrow(_each_line(least, content, schema), "h long, hh binary, line string").join(sought, "h", "left_semi").dropDuplicates(["hh"])
-    found = staged(found, "lines")
+def _refined(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
+    """Narrower keys for rows (ord, own, short, spec): spec null stands for a line in all its parts."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            cols = [batch.column(c).to_pylist() for c in ("ord", "line", "own", "short", "spec")]
+            for number, line, own, short, spec in zip(*cols, strict=True):
+                n = len(line)
+                todo = [(own, short, tuple(spec))] if spec else [(True, n, (0, n, edits, 0))] + [(False, s, (0, s, edits, n - s)) for s in range(max(1, n - edits), n + 1)]
+                for mine, size, old in todo:
+                    parts = 4 if spec else 9
+                    for new in split_spec(old, parts, mine):
+                        if mine or any(new[3::4]):  # a probe without any shift is an own key
+                            out.append((_signed(spec_key(line, size, new)), number, mine, size, list(new)))
+                    if mine and spec:  # a letter more in one piece and one less in another
+                        out += [(_signed(spec_key(line, size, new)), number, False, size, list(new)) for new in split_spec(old, parts, False) if any(new[3::4])]
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), KEYED, strict=True)], schema=KEYED)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), KEYED, strict=True)], schema=KEYED)
+
+    found = rows.join(lines, "ord").select("ord", "line", "own", "short", "spec").mapInArrow(run, KEYED_SQL)
+    return staged(found.distinct(), "refined")
+
+
+KEYED = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("own", pa.bool_()), ("short", pa.int32()), ("spec", pa.list_(pa.int32()))])
+KEYED_SQL = "key long, ord long, own boolean, short int, spec array<int>"
+
+
+def later_lines(rows: DataFrame, lines: DataFrame, edits: int, hot: int) -> DataFrame:
+    """The numbers (ord) of the lines within `edits` edits of one with a smaller number.
+
+    rows (key, ord, own) has the lines that share a key, lines (ord, line) their contents. Only whether there is such
+    a line is asked, so pairs aren't made: every line at a key is set against the key's first line, and against the
+    first that has the key as its own. Lines that this decides ask no more. What is left is compared with all earlier
+    lines at the key if the key has `hot` lines or so many undecided ones at most, so a row meets `hot` others. Fuller
+    keys are narrowed: their lines are cut in nine parts, of which those with the edits are free and all others have
+    to be equal, and those parts in four as often as needed. When free stretches have one character each, a key's
+    lines are as many as the alphabet allows, whatever the number of documents, and are all compared.
+    """
 
     @F.arrow_udf("boolean")
     def within(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([edit_distance(a, b, edits) <= edits for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
 
-    left = found.select(F.col("h").alias("ha"), F.col("hh").alias("a"), F.col("line").alias("line_a"))
-    right = found.select(F.col("h").alias("hb"), F.col("hh").alias("b"), F.col("line").alias("line_b"))
-    pairs = met.join(left, "ha").join(right, "hb").filter(within("line_a", "line_b"))
-    links = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
-    discard(met, wanted, found)
-    return links
+    def verified(pairs: DataFrame) -> DataFrame:
+        first = lines.select(F.col("ord").alias("cand"), F.col("line").alias("first"))
+        return pairs.distinct().join(lines, "ord").join(first, "cand").filter(within("line", "first")).select("ord").distinct()
+
+    def decide(pairs: DataFrame, before: DataFrame) -> DataFrame:
+        now = staged(before.unionByName(verified(pairs)).distinct(), "decided")
+        discard(before)
+        return now
+
+    decided = staged(lines.select("ord").limit(0), "decided")
+    rows = rows.withColumn("short", F.lit(None).cast("int")).withColumn("spec", F.lit(None).cast("array<int>"))
+    rows = staged(rows.distinct(), "level")
+    while True:
+        firsts = rows.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("ord"))).alias("i0"), F.min("ord").alias("r0"), F.count("*").alias("c"))
+        firsts = staged(firsts.filter("i0 is not null and c > 1"), "first")
+        at = rows.join(firsts, "key")
+        star = at.select("ord", F.explode(F.array("i0", F.when(F.col("own"), F.col("r0")))).alias("cand")).filter("cand < ord")
+        decided = decide(star.join(decided, "ord", "left_anti"), decided)
+        # Rows that an earlier line but those two may decide.
+        more = at.filter("c > 2 and ord > if(own, r0, i0)").join(decided, "ord", "left_anti")
+        more = staged(more, "more")
+        leaf = F.when(F.col("spec").isNull(), False).otherwise(F.forall(F.sequence(F.lit(0), (F.size("spec") / 4 - 1).cast("int")), lambda i: F.get("spec", i * 4 + 1) - F.get("spec", i * 4) <= 1))
+        sizes = more.groupBy("key", "c").agg(F.count("*").alias("u"), F.min(leaf).alias("leaf"))
+        sizes = staged(sizes.withColumn("direct", F.col("leaf") | (F.least("u", "c") <= hot)), "sizes")
+        asking = more.join(sizes.filter("direct").select("key"), "key").select("key", "ord", "own", "i0", "r0")
+        earlier = rows.select(F.col("key").alias("same"), F.col("ord").alias("cand"), F.col("own").alias("other"))
+        pairs = asking.join(earlier, (F.col("key") == F.col("same")) & (F.col("cand") < F.col("ord")) & (F.col("own") | F.col("other")) & (F.col("cand") != F.col("i0")) & ~(F.col("own") & (F.col("cand") == F.col("r0"))))
+        decided = decide(pairs.select("ord", "cand"), decided)
+        full = staged(rows.join(sizes.filter("not direct").select("key"), "key").select("ord", "own", "short", "spec").distinct(), "full")
+        empty = full.isEmpty()
+        if not empty:
+            narrowed = full.filter("spec is not null").unionByName(full.filter("spec is null").select("ord", F.lit(True).alias("own"), "short", "spec").distinct())
+            narrowed = _refined(lines, narrowed, edits)
+        discard(rows, firsts, more, sizes, full)
+        if empty:
+            return decided
+        rows = narrowed
+
+
+def near_lines(texts: DataFrame, firsts: DataFrame, *, least: int, edits: int, hot: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
+    """The 128-bit hashes (hh) of the lines within `edits` edits of an earlier, different one, staged.
+
+    texts has one column; firsts has hh and first, the place of a line that comes before all others like it, which
+    gives the order. Up to broadcast_rows wanted hashes (of 8 bytes) are looked up by a broadcast.
+    """
+    rows = shared_keys(texts, least, edits)
+    wanted = staged(rows.select("h").distinct(), "wanted")
+    sought = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+
+    def content(hh: bytes, line: str) -> list[tuple]:
+        return [(int.from_bytes(hh[:8], "little", signed=True), hh, line)]
+
+    schema = pa.schema([("h", pa.int64()), ("hh", pa.binary()), ("line", pa.string())])
+    found = texts.mapInArrow(_each_line(least, content, schema), "h long, hh binary, line string").join(sought, "h", "left_semi").dropDuplicates(["hh"])
+    found = staged(found, "contents")
+    places = firsts.join(F.broadcast(found.select("hh")) if wanted.count() <= broadcast_rows else found.select("hh"), "hh", "left_semi")
+    order = ranked(places, [F.col("first")], "ord")
+    lines = staged(found.join(order.select("hh", "ord"), "hh"), "lines")
+    keyed = staged(rows.join(lines.select("h", "ord"), "h").select("key", "ord", "own"), "keyed")
+    discard(rows, wanted, found, order)
+    later = later_lines(keyed, lines.select("ord", "line"), edits, hot)
+    out = staged(lines.join(later, "ord", "left_semi").select("hh"), "later")
+    discard(keyed, lines, later)
+    return out
 
 
-def line_decisions(rows: DataFrame, *, least: int = 32, edits: int = 2) -> DataFrame:
+def line_decisions(rows: DataFrame, *, least: int = 32, edits: int = 2, hot: int = 32) -> DataFrame:
     """Which lines go: rows has _row (unique), _id, _text; returns _row, _id, n_lines, removed (ascending line numbers).
 
-    A line goes if an equal one, or one within `edits` edits of it (characters), comes earlier: in a document with a
-    smaller id (null last), then row, then line number. White space around a line doesn't count, and lines of fewer
-    than `least` characters stay.
+    A line goes if an equal one comes earlier: in a document with a smaller id (null last), then row, then line number.
+    A line of `least` characters or more also goes if one within `edits` edits of it (characters) comes earlier; in
+    shorter lines two edits change what is said ("Chapter 12", "Chapter 13"), so these have to be equal. White space
+    around a line doesn't count, and blank lines stay.
     """
 
     def run(batches):
@@ -210,7 +344,7 @@ def line_decisions(rows: DataFrame, *, least: int = 32, edits: int = 2) -> DataF
             out: list[tuple] = []
             for row, key, text in zip(*map(_values, batch.columns), strict=True):
                 out.append((row, key, -1, 0 if text is None or text == "" else text.count("\n") + 1, None))
-                out += [(row, key, i, 0, xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))) for i, line in lines_of(text, least)]
+                out += [(row, key, i, 0, xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))) for i, line in lines_of(text, 1)]
             cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], batch.schema.field(1).type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())],
@@ -221,11 +355,9 @@ def line_decisions(rows: DataFrame, *, least: int = 32, edits: int = 2) -> DataF
     lines = staged(rows.select("_row", "_id", "_text").mapInArrow(run, f"_row long, _id {kind}, line int, n_lines long, hh binary"), "lines")
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("line").alias("l"))
     firsts = staged(lines.filter("hh is not null").groupBy("hh").agg(F.min(place).alias("first")), "firsts")
-    links = near_lines(rows.select("_text"), least=least, edits=edits)
-    both = links.join(firsts.select(F.col("hh").alias("a"), F.col("first").alias("first_a")), "a").join(firsts.select(F.col("hh").alias("b"), F.col("first").alias("first_b")), "b")
-    later = both.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("hh")).distinct().withColumn("gone", F.lit(True))
-    judged = staged(firsts.join(later, "hh", "left"), "judged")
-    discard(links, firsts)
+    later = near_lines(rows.select("_text"), firsts, least=least, edits=edits, hot=hot)
+    judged = staged(firsts.join(later.withColumn("gone", F.lit(True)), "hh", "left"), "judged")
+    discard(later, firsts)
     judged = lines.join(judged, "hh", "left")
     goes = F.col("hh").isNotNull() & (F.coalesce("gone", F.lit(False)) | (F.col("_row") != F.col("first.r")) | (F.col("line") != F.col("first.l")))
     return judged.groupBy("_row").agg(

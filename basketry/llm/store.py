@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or a temporary one of our own where that is unset, as in tests."""
+    """The folder that the cluster shares, as spark.checkpoint.dir names it.
+
+    Where that is unset it is `.basketry` in the warehouse, which driver and executors share too.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or f"file://{tempfile.gettempdir()}/basketry-stage"
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.basketry"
 
 
 #: The folders that staged() has made and nobody has discarded.
@@ -32,33 +35,44 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Write df as a table of the warehouse that is bucketed by key: joins on key do not move its rows again."""
+    """Write df to the shared folder as a table that is bucketed by key: joins on key do not move its rows again."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"basketry_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    df.repartition(n, key).write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    SCRATCH.append(path)
+    out = spark.table(name)
+    out._scratch = path
+    return out
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Delete scratch folders."""
+    """Delete scratch folders, and the tables that stand in them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
+        if (name := path.rpartition("/")[2]).startswith("basketry_"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         at = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
         at.getFileSystem(conf).delete(at, True)
         if path in SCRATCH:
             SCRATCH.remove(path)
 
 
+_last_collection = [0.0]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that no plan to come reads: what was made of them has been staged itself.
 
-    Spark deletes shuffle files when the driver's garbage is collected, so that is asked for.
+    Spark deletes shuffle files when the driver's garbage is collected, so that is asked for, twice a minute at most.
     """
     for df in tables:
         remove(df.sparkSession, [df._scratch])
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    if time.monotonic() - _last_collection[0] > 30:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        _last_collection[0] = time.monotonic()
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -77,4 +91,6 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     shift = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.lit(None)
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     rank = (inside + (shift[F.col("_part")] if before else F.lit(0))).cast("long")
-    return parts.withColumn(name, rank).drop("_part")
+    out = parts.withColumn(name, rank).drop("_part")
+    out._scratch = parts._scratch
+    return out

@@ -176,8 +176,6 @@ def test_line_decisions(spark):
             out.append("".join(line) if rng.random() < 0.8 else "short")
         docs.append((i, "\n".join(out)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = df.select(F.col("doc_id").alias("_id"), F.col("doc_id").alias("_row"), F.col("text").alias("_text"))
-    got = {r["_id"]: r["removed"] for r in lines.line_decisions(rows).collect()}
     seen: dict = {}
     gone = set()
     for _, t in docs:
@@ -187,16 +185,57 @@ def test_line_decisions(spark):
                 if any(lines.plain_distance(s, x, 99) <= 2 for x in seen):
                     gone.add(s)
                 seen[s] = None
-    first = set()
+    first, want = set(), {}
     for i, t in docs:
-        want = []
+        want[i] = []
         for k, line in enumerate(t.split("\n")):
-            s = line.strip()
-            if len(s) >= 32:
+            if s := line.strip():
                 if s in gone or s in first:
-                    want.append(k)
+                    want[i].append(k)
                 first.add(s)
-        assert got[i] == want
+    rows = df.select(F.col("doc_id").alias("_id"), F.col("doc_id").alias("_row"), F.col("text").alias("_text"))
+    for hot in (32, 1):
+        assert {r["_id"]: r["removed"] for r in lines.line_decisions(rows, hot=hot).collect()} == want
+
+
+@given(st.text("ab", min_size=12, max_size=30), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 29), st.sampled_from("abc")), min_size=1, max_size=2))
+@settings(max_examples=200, deadline=None)
+def test_narrowed_keys_keep_near_lines_together(a, edits):
+    b = list(a)
+    for kind, at, c in edits:
+        at %= len(b)
+        if kind == 0:
+            b[at] = c
+        elif kind == 1:
+            b.insert(at, c)
+        else:
+            del b[at]
+    short, long = sorted((a, "".join(b)), key=len)
+
+    def keys(line, size, specs, own):
+        return {(lines.spec_key(line, size, new), new) for old in specs for new in lines.split_spec(old, 4, own)}
+
+    n = len(short)
+    left, right = [(0, n, 2, 0)], [(0, n, 2, len(long) - n)]
+    for _ in range(3):
+        mine, probes = keys(short, n, left, True), keys(long, n, right, False)
+        shared = {k for k, _ in mine} & {k for k, _ in probes}
+        assert shared
+        left, right = [spec for k, spec in mine if k in shared], [spec for k, spec in probes if k in shared]
+
+
+def test_variants_of_one_line_are_not_paired(spark):
+    """Lines that differ in one word, a number or two letters: decisions equal brute force, whatever the size of the group."""
+    rng = random.Random(3)
+    base = "the quick brown fox number 000000 jumps over the lazy dog again"
+    found = []
+    for i in range(500):
+        line = base.replace("000000", f"{rng.randrange(10**6):06d}") if i % 3 else base.replace("lazy", "".join(rng.choice("abcdef") for _ in range(5)))
+        at = rng.randrange(len(line))
+        found.append(line[:at] + rng.choice(["", "x", "yz"]) + line[at + rng.randrange(2) :])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(found)], "_row long, _text string").withColumn("_id", F.col("_row"))
+    got = {r["_id"]: r["removed"] for r in lines.line_decisions(df, hot=4).collect()}
+    assert got == {i: [0] * any(lines.edit_distance(x, y, 2) <= 2 for y in found[:i]) for i, x in enumerate(found)}
 
 
 # --- 4: suffixes ---
