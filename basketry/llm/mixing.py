@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.store import ranked, staged
+from basketry.llm.store import discard, ranked, staged
 
 
 def word_count(text: Column) -> Column:
@@ -37,6 +37,52 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), cap:
     return t.select("_null", "_src", "source_size", F.least(F.col("_cap"), level * F.col("_w")).alias("target"))
 
 
+def inclusion(rows: DataFrame) -> DataFrame:
+    """_c and _top of each source: documents longer than _top are certain, others have the chance _c * size, below 1.
+
+    rows has _null, _src, _size and _rest, the words to expect. Sizes are counted first, so what is put in order are
+    the distinct sizes of a source. _top is the largest size s for which the chance (rest - words of longer documents)
+    / (sum of squares of sizes up to s) * s stays below 1; without one all documents that are short enough are certain.
+    """
+    key = ["_null", "_src"]
+    sizes = rows.filter("_size > 0 and _size <= _rest").groupBy(*key, "_size").agg(F.count("*").cast("double").alias("_n"), F.first("_rest").alias("_rest"))
+    longer = Window.partitionBy(*key).orderBy(F.col("_size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    shorter = Window.partitionBy(*key).orderBy("_size").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.col("_size").cast("double")
+    c = (F.col("_rest") - F.coalesce(F.sum(size * F.col("_n")).over(longer), F.lit(0.0))) / F.sum(size * size * F.col("_n")).over(shorter)
+    return sizes.withColumn("_c", c).filter((F.col("_c") >= 0) & (F.col("_c") * size < 1)).groupBy(*key).agg(F.max_by("_c", "_size").alias("_c"), F.max("_size").alias("_top"))
+
+
+def filled(order: DataFrame, plan: DataFrame, near: float) -> DataFrame:
+    """The stretches of each source's order that fill its rest: _null, _src, _steps, an array of (r, begin, end).
+
+    A document is taken if its place is in one of the stretches (begin included, null for the first; end excluded, null
+    for the last) and its size is r, what was missing at the stretch's begin, or less. order has _null, _src, _size,
+    _bin and _pos, plan has _null, _src, _rest and target.
+    """
+    key, pos = ["_null", "_src"], order.schema["_pos"].dataType.simpleString()
+    none = F.lit(None).cast(pos)
+    state = staged(plan.select(*key, "target", F.col("_rest").cast("double").alias("_r"), none.alias("_at"), F.lit(None).cast(f"array<struct<r:double,begin:{pos},end:{pos}>>").alias("_steps")), "state")
+    run = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        asking = state.filter(F.col("_r") > near * F.col("target")).filter("_steps is null or _at is not null").select(*key, "_r", "_at")
+        left = order.join(asking, key).filter("_size <= _r and (_at is null or _pos > _at)")
+        bins = staged(left.groupBy(*key, "_bin", "_r").agg(F.sum("_size").alias("_words")).withColumn("_before", F.coalesce(F.sum("_words").over(run), F.lit(0))), "bins")
+        if bins.isEmpty():
+            return state.filter("_steps is not null").select(*key, "_steps")
+        cut = bins.filter("_before <= _r and _before + _words > _r").select(*key, F.col("_bin").alias("_cut"), "_before")
+        at_cut = left.join(cut, key).filter("_bin = _cut").withColumn("_sum", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+        over = at_cut.filter("_sum + _size > _r").groupBy(*key).agg(F.min(F.struct("_pos", "_sum")).alias("_end"))
+        step = bins.groupBy(*key).agg(F.sum("_words").alias("_total")).join(over, key, "left")
+        new = F.struct(F.col("_r").alias("r"), F.col("_at").alias("begin"), F.col("_end._pos").alias("end"))
+        steps = F.when(F.col("_total").isNull(), F.col("_steps")).when(F.col("_steps").isNull(), F.array(new)).otherwise(F.array_append("_steps", new))
+        rest = F.when(F.col("_total").isNull(), F.lit(0.0)).otherwise(F.col("_r") - F.coalesce("_end._sum", "_total"))
+        old = state
+        state = staged(state.join(step, key, "left").select(*key, "target", rest.alias("_r"), F.col("_end._pos").alias("_at"), steps.alias("_steps")), "state")
+        discard(old, bins)
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), **options) -> DataFrame:
     """The mix of mix_rows() without its row numbers."""
     return mix_rows(docs, weights, **options).drop("_row")
@@ -64,17 +110,25 @@ def mix_rows(
     size: Column | None = None,
     cap: float = 3.0,
     seed: int = 2,
+    near: float = 0.001,
     row_col: str | None = None,
 ) -> DataFrame:
     """How many words of each document a mix with the given source weights takes.
 
     Every document of a source gets the whole copies that target / source size holds. The rest of the target is a
-    Pareto order sample: documents are ranked by the odds of a random number (a hash of id and seed) over their odds
-    of inclusion, which are in proportion to their size, and the first ones whose words fill the rest are taken; the
-    last one is taken if that comes nearer. So a source misses its target by half a document at most.
-
-    The order is cut without sorting a source in one task: words are summed in fine bins of the rank's logarithm, the
-    bin where the rest is filled is found from these sums, and only the documents of that bin are put in order.
+    Pareto order sample of the documents that are no longer than it. Inclusion probabilities are in proportion to
+    size, lambda = c size, with c such that the sample's expected words are the rest; documents for which that is 1
+    or more are taken with certainty, and c is found without them (see inclusion()). The others are ranked by the odds
+    u / (1 - u) of a random number (a hash of id and seed) over their odds of inclusion lambda / (1 - lambda), and the
+    first n = sum of lambda are the sample. As a sample of n documents seldom has just the words that are asked for,
+    the end of the order settles it: if n documents have more than the rest the last ones are given back, and if they
+    have fewer the order is followed further. Either way the first document that doesn't fit is passed over, and so
+    are later ones that don't fit into what is missing then, until less than `near` of the target is missing or
+    nothing fits. So a source takes its target at most, and misses `near` of it or less than its shortest document.
+
+    No source is sorted in one task: words are summed in fine bins of the rank's logarithm, the bin where the rest is
+    filled is found from these sums, and only the documents of that bin are put in order. Each document passed over
+    costs one more round over sizes and ranks, and what is missing shrinks with every round.
 
     Returns one row per row of docs: _row (its number, or its row_col), id_col, source_col, size,
     source_size, target, taken. Null text or size counts
@@ -89,28 +143,19 @@ def mix_rows(
     key = ["_null", "_src"]
     sources = staged(source_targets(sums, weights, cap).withColumn("_times", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "targets")
     sources = sources.withColumn("_whole", F.floor("_times").cast("long")).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+    chances = staged(inclusion(rows.join(sources.select(*key, "_rest"), key)), "chances")
+    sources = staged(sources.join(chances, key, "left"), "plan")
     u = (F.shiftrightunsigned(F.xxhash64("_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    order = rows.withColumn("_log", F.when(F.col("_size") > 0, F.log(u) - F.log1p(-u) - F.log(F.col("_size").cast("double"))).otherwise(1e3))
+    chance = F.col("_c") * F.col("_size")
+    odds = F.log(u) - F.log1p(-u) - F.log(F.greatest(chance, F.lit(1e-300))) + F.log1p(-chance)
+    order = rows.join(sources.select(*key, "_rest", "_c", "_top"), key).filter("_size > 0 and _size <= _rest")
+    order = order.withColumn("_log", F.when(F.col("_c").isNull() | (F.col("_size") > F.col("_top")), F.lit(-1e6)).otherwise(odds))
     fine = 64.0 * max(1.0, (rows.count() / 5e7))
-    order = order.withColumn("_bin", F.floor(F.col("_log") * fine).cast("long"))
-    bins = order.groupBy(*key, "_bin").agg(F.sum("_size").alias("_words"))
-    run = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_words").over(run), F.lit(0))).join(sources.select(*key, "_rest"), key)
-    cut = staged(
-        bins.filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") >= F.col("_rest"))).select(*key, F.col("_bin").alias("_cut"), F.col("_before").alias("_sum")),
-        "cuts",
-    )
-    sources = staged(sources.join(cut, key, "left"), "plan")
-    joined = order.join(sources, key)
-    # No bin fills a rest of 0: nothing more is taken then.
-    at_cut = joined.filter(F.col("_bin") == F.col("_cut"))
-    inside = Window.partitionBy(*key).orderBy("_log", "_id", "_size", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = at_cut.withColumn("_so_far", F.col("_sum") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    at_cut = at_cut.withColumn("_extra", (F.col("_so_far") + F.col("_size") / 2 <= F.col("_rest")).cast("long"))
-    others = joined.filter(F.col("_cut").isNull() | (F.col("_bin") != F.col("_cut")))
-    others = others.withColumn("_extra", F.coalesce((F.col("_bin") < F.col("_cut")).cast("long"), F.lit(0)))
-    cols = ["_row", "_id", *key, "_size", "source_size", "target", "_whole", "_extra"]
-    out = others.select(*cols).unionByName(at_cut.select(*cols))
+    order = staged(order.select(*key, "_row", "_size", F.floor(F.col("_log") * fine).cast("long").alias("_bin"), F.struct("_log", "_id", "_size", "_row").alias("_pos")), "order")
+    steps = filled(order, sources.select(*key, "_rest", "target"), near)
+    extra = F.exists("_steps", lambda s: (F.col("_size") <= s["r"]) & (s["begin"].isNull() | (F.col("_pos") >= s["begin"])) & (s["end"].isNull() | (F.col("_pos") < s["end"])))
+    extra = staged(order.join(steps, key).filter(extra).select("_row"), "extra")
+    out = rows.join(sources.select(*key, "source_size", "target", "_whole"), key).join(extra.withColumn("_more", F.lit(1)), "_row", "left").withColumn("_extra", F.coalesce("_more", F.lit(0)))
     return out.select(
         "_row",
         F.col("_id").alias(id_col),
