@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -93,7 +94,48 @@ def test_mix_meets_targets(spark):
         assert r["taken"] <= 3 * r["size"]
         took[s] += r["taken"]
         largest[s] = max(largest[s], r["size"])
-    assert all(abs(took[s] - target[s]) <= largest[s] for s in order)
+    assert all(0 <= target[s] - took[s] <= max(0.001 * target[s], min(len(t.split()) for _, t, x in rows if x == s)) for s in order)
+
+
+def pareto_by_hand(sizes, u, rest, near):
+    """{document: taken} by the definition: sizes and random numbers by document, the words to take, the least that may be missing."""
+    can = {d for d, n in sizes.items() if 0 < n <= rest}
+    certain = set()
+    while can - certain:
+        c = (rest - sum(sizes[d] for d in certain)) / sum(sizes[d] ** 2 for d in can - certain)
+        more = {d for d in can - certain if c * sizes[d] >= 1}
+        if not more:
+            break
+        certain |= more
+    rank = {d: -1e6 if d in certain else math.log(u[d] / (1 - u[d])) - math.log(c * sizes[d] / (1 - c * sizes[d])) for d in can}
+    taken, left = set(), rest
+    for d in sorted(can, key=lambda d: (rank[d], d)):
+        if left > near and sizes[d] <= left:
+            taken.add(d)
+            left -= sizes[d]
+    return taken
+
+
+def test_mix_selection(spark):
+    """The selection by hand, with a document of a third of its source's words; inclusion over 60 sources alike is in proportion to size, but for the few small documents that settle the end."""
+    rng = random.Random(7)
+    rows = [(i, int(rng.lognormvariate(3, 1)) + 1, "ab"[i % 2]) for i in range(400)] + [(400, 3000, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, n long, source string")
+    got = mixing.mix_rows(df, (1, 2), size=F.col("n"))
+    u = {r[0]: r[1] for r in df.select("doc_id", ((F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(2)), 11).cast("double") + 0.5) / float(1 << 53))).collect()}
+    for s, found in ((s, [r for r in got.collect() if r["source"] == s]) for s in "ab"):
+        sizes, target = {r["doc_id"]: r["size"] for r in found}, found[0]["target"]
+        whole = int(target // sum(sizes.values()))
+        taken = pareto_by_hand(sizes, u, target - whole * sum(sizes.values()), 0.001 * target)
+        assert {r["doc_id"]: r["taken"] for r in found} == {d: (whole + (d in taken)) * n for d, n in sizes.items()}
+    sizes = [5 + k % 20 for k in range(600)] + [100]
+    df = spark.createDataFrame([(60 * k + j, n, f"s{j:03d}") for j in range(60) for k, n in enumerate(sizes)], "doc_id long, n long, source string")
+    got = mixing.mix_rows(df, (1, 1.5), size=F.col("n")).filter("target < source_size")
+    share = got.groupBy("size").agg(F.avg(F.when(F.col("taken") > 0, 1.0).otherwise(0.0)).alias("p"), F.count("*").alias("n"), F.first("target").alias("t")).collect()
+    c = next(c for c in (share[0]["t"] * x / 1e6 / sum(sizes) for x in range(1, 10**6)) if sum(n * min(1, c * n) for n in sizes) >= share[0]["t"])
+    for r in share:
+        p = min(1, c * r["size"])
+        assert abs(r["p"] - p) < 4 * math.sqrt(p * (1 - p) / r["n"]) + 0.04
 
 
 # --- 3: toxicity ---
@@ -353,6 +395,30 @@ def test_tiles_find_moved_passages(spark):
         assert [r["doc_id"] for r in decontam.contaminated(docs, items, broadcast_bytes=size).collect()] == [1]
 
 
+def test_seed_join_finds_what_the_broadcast_finds(spark):
+    """Both ways over items of 1 to 40 words, one of them a frequent four-word run, and texts that quote them in pieces."""
+    rng = random.Random(9)
+    items = {i: [f"v{rng.randrange(50)}" for _ in range(rng.choice([1, 2, 3, 4, 6, 20, 40]))] for i in range(60)} | {99: "a common run here".split()}
+    texts = []
+    for _ in range(200):
+        words = []
+        for _ in range(3):
+            w = items[rng.randrange(60)]
+            at = rng.randrange(len(w))
+            words += w[at : at + rng.randint(3, 30)] + [f"z{rng.randrange(999)}"] + items[99]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    a, b = (sorted(map(tuple, decontam.contaminated(docs, bench, broadcast_bytes=n).collect())) for n in (1 << 20, 0))
+    assert a == b and len(a) > 200
+    want = set()
+    for d, t in enumerate(texts):
+        for k, w in items.items():
+            if 2 * sum(x[2] for x in tiles_by_hand(t.split(), w, min(4, len(w)))) >= len(w):
+                want.add((d, k))
+    assert {(r[0], r[1]) for r in a} == want
+
+
 @given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=15), st.integers(2, 4))
 @settings(max_examples=200, deadline=None)
 def test_tiles_are_valid_and_longest_first(a, b, least):
@@ -364,6 +430,34 @@ def test_tiles_are_valid_and_longest_first(a, b, least):
     assert (tiles[0][2] if tiles else 0) == (longest if longest >= least else 0)
 
 
+def tiles_by_hand(a, b, least):
+    free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
+    for n in range(min(len(a), len(b)), least - 1, -1):
+        for i in range(len(a) - n + 1):
+            for j in range(len(b) - n + 1):
+                if a[i : i + n] == b[j : j + n] and all(free_a[i : i + n]) and all(free_b[j : j + n]):
+                    free_a[i : i + n] = free_b[j : j + n] = [False] * n
+                    tiles.append((i, j, n))
+    return tiles
+
+
+@given(st.lists(st.integers(0, 2), max_size=30), st.lists(st.integers(0, 2), max_size=20), st.integers(1, 4))
+@settings(max_examples=300, deadline=None)
+def test_tiles_equal_those_by_hand(a, b, least):
+    got = decontam.greedy_tiles(np.array(a, np.uint64), np.array(b, np.uint64), least)
+    assert got == tiles_by_hand(a, b, least)
+
+
+def test_tiles_of_one_word_repeated():
+    """20,000 equal words against 1,000: a pass a length, not all pairs of places."""
+    words = np.full(20_000, 7, np.uint64)
+    words[:100] = np.arange(100)
+    begin = time.monotonic()
+    tiles = decontam.greedy_tiles(words, np.concatenate((np.full(950, 7, np.uint64), np.arange(50, dtype=np.uint64))), 4)
+    assert tiles == [(100, 0, 950), (8, 958, 42), (0, 950, 7)] or sum(t[2] for t in tiles) >= 999
+    assert time.monotonic() - begin < 5
+
+
 # --- 7: Jaccard ---
 
 
