@@ -96,7 +96,15 @@ def spec_key(line: str, short: int, spec: Spec) -> int:
         at, more = hi, more + x
     fixed.append(line[at + more :])
     shape = [short, *(v for k in range(0, len(spec), 4) for v in spec[k : k + 3])]
-    return xxhash.xxh3_64_intdigest("\n".join([*fixed, repr(shape)]).encode("utf-8", "surrogatepass"))
+    return _signed(xxhash.xxh3_64_intdigest("\n".join([*fixed, repr(shape)]).encode("utf-8", "surrogatepass")))
+
+
+def free_ends(line: str, spec: Spec) -> tuple[int, int]:
+    """Hashes of the line's first and last free stretch."""
+    lo, hi, _, x = spec[:4]
+    first = line[lo : hi + x]
+    last = line[spec[-4] + sum(spec[3:-4:4]) : spec[-3] + sum(spec[3::4])]
+    return tuple(_signed(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))) for t in (first, last))
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -229,11 +237,10 @@ def _refined(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
                 todo = [(own, short, tuple(spec))] if spec else [(True, n, (0, n, edits, 0))] + [(False, s, (0, s, edits, n - s)) for s in range(max(1, n - edits), n + 1)]
                 for mine, size, old in todo:
                     parts = 4 if spec else 9
-                    for new in split_spec(old, parts, mine):
-                        if mine or any(new[3::4]):  # a probe without any shift is an own key
-                            out.append((_signed(spec_key(line, size, new)), number, mine, size, list(new)))
+                    made = [(mine, new) for new in split_spec(old, parts, mine) if mine or any(new[3::4])]  # a probe without any shift is an own key
                     if mine and spec:  # a letter more in one piece and one less in another
-                        out += [(_signed(spec_key(line, size, new)), number, False, size, list(new)) for new in split_spec(old, parts, False) if any(new[3::4])]
+                        made += [(False, new) for new in split_spec(old, parts, False) if any(new[3::4])]
+                    out += [(spec_key(line, size, new), number, is_own, size, list(new), *free_ends(line, new)) for is_own, new in made]
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), KEYED, strict=True)], schema=KEYED)
                     out = []
@@ -244,8 +251,8 @@ def _refined(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
     return staged(found.distinct(), "refined")
 
 
-KEYED = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("own", pa.bool_()), ("short", pa.int32()), ("spec", pa.list_(pa.int32()))])
-KEYED_SQL = "key long, ord long, own boolean, short int, spec array<int>"
+KEYED = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("own", pa.bool_()), ("short", pa.int32()), ("spec", pa.list_(pa.int32())), ("u", pa.int64()), ("v", pa.int64())])
+KEYED_SQL = "key long, ord long, own boolean, short int, spec array<int>, u long, v long"
 
 
 def later_lines(rows: DataFrame, lines: DataFrame, edits: int, hot: int) -> DataFrame:
@@ -274,13 +281,15 @@ def later_lines(rows: DataFrame, lines: DataFrame, edits: int, hot: int) -> Data
         return now
 
     decided = staged(lines.select("ord").limit(0), "decided")
-    rows = rows.withColumn("short", F.lit(None).cast("int")).withColumn("spec", F.lit(None).cast("array<int>"))
+    rows = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("short", "int"), ("spec", "array<int>"), ("u", "long"), ("v", "long"))])
     rows = staged(rows.distinct(), "level")
     while True:
-        firsts = rows.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("ord"))).alias("i0"), F.min("ord").alias("r0"), F.count("*").alias("c"))
-        firsts = staged(firsts.filter("i0 is not null and c > 1"), "first")
+        # Each of several free stretches has an edit: a key whose lines all agree in one has nothing that a narrower key lacks.
+        differ = (F.coalesce(F.max(F.size("spec")), F.lit(0)) <= 4) | ((F.min("u") != F.max("u")) & (F.min("v") != F.max("v")))
+        firsts = rows.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("ord"))).alias("i0"), F.min("ord").alias("r0"), F.count("*").alias("c"), differ.alias("differ"))
+        firsts = staged(firsts.filter("i0 is not null and c > 1 and differ").drop("differ"), "first")
         at = rows.join(firsts, "key")
-        star = at.select("ord", F.explode(F.array("i0", F.when(F.col("own"), F.col("r0")))).alias("cand")).filter("cand < ord")
+        star = at.filter("i0 < ord").select("ord", F.col("i0").alias("cand")).unionByName(at.filter("own and r0 < i0 and r0 < ord").select("ord", F.col("r0").alias("cand")))
         decided = decide(star.join(decided, "ord", "left_anti"), decided)
         # Rows that an earlier line but those two may decide.
         more = at.filter("c > 2 and ord > if(own, r0, i0)").join(decided, "ord", "left_anti")
@@ -354,15 +363,16 @@ def line_decisions(rows: DataFrame, *, least: int = 32, edits: int = 2, hot: int
     kind = rows.schema["_id"].dataType.simpleString()
     lines = staged(rows.select("_row", "_id", "_text").mapInArrow(run, f"_row long, _id {kind}, line int, n_lines long, hh binary"), "lines")
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("line").alias("l"))
-    firsts = staged(lines.filter("hh is not null").groupBy("hh").agg(F.min(place).alias("first")), "firsts")
+    firsts = staged(lines.filter("hh is not null").groupBy("hh").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
     later = near_lines(rows.select("_text"), firsts, least=least, edits=edits, hot=hot)
-    judged = staged(firsts.join(later.withColumn("gone", F.lit(True)), "hh", "left"), "judged")
+    judged = firsts.join(later.withColumn("gone", F.lit(True)), "hh", "left").filter("gone or times > 1")
+    judged = staged(judged.select("hh", "gone", F.col("first.r").alias("r"), F.col("first.l").alias("l")), "judged")
     discard(later, firsts)
-    judged = lines.join(judged, "hh", "left")
-    goes = F.col("hh").isNotNull() & (F.coalesce("gone", F.lit(False)) | (F.col("_row") != F.col("first.r")) | (F.col("line") != F.col("first.l")))
-    return judged.groupBy("_row").agg(
-        F.first("_id").alias("_id"), F.sum("n_lines").alias("n_lines"), F.sort_array(F.collect_list(F.when(goes, F.col("line")))).alias("removed")
-    )
+    # Only lines that are equal to another or go are looked at again: most are neither.
+    goes = lines.filter("hh is not null").select("_row", "line", "hh").join(judged, "hh").filter("gone or _row != r or line != l")
+    goes = goes.groupBy("_row").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    texts = lines.filter("hh is null").select("_row", "_id", "n_lines")
+    return texts.join(goes, "_row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 32, edits: int = 2) -> DataFrame:
