@@ -34,13 +34,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Write df to the shared folder as a table that is bucketed by key: joins on key do not move its rows again."""
+def bucketed(df: DataFrame, key: str, move: bool = True) -> DataFrame:
+    """Write df to the shared folder as a table that is bucketed by key: joins on key do not move its rows again.
+
+    Without move every task writes a file for each bucket that it has rows of: for tables of few, large rows.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"basketry_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
-    df.repartition(n, key).write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    (df.repartition(n, key) if move else df).write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
     SCRATCH.append(path)
     out = spark.table(name)
     out._scratch = path

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from basketry.llm import chat, decontam, exact, jaccard, lines, mixing, ngram, pii, suffixes, toxicity
-from basketry.llm.eliasfano import EliasFano, Level, dequantise, open_level, pack, quantise, unpack
+from basketry.llm.eliasfano import EliasFano, Level, dequantise, open_level, pack, quantise, save, unpack
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -516,17 +516,21 @@ def test_level_from_a_file(tmp_path):
     rng = np.random.default_rng(0)
     keys = np.unique((rng.integers(0, 200, 5000, dtype=np.uint64) << np.uint64(32)) | rng.integers(1, 300, 5000, dtype=np.uint64))
     counts = rng.integers(2, 10_000, len(keys))
-    (tmp_path / "level").write_bytes(Level.encode(keys, counts))
-    level = open_level(str(tmp_path / "level"))
+    p, backs = counts / 10_000, rng.random(len(np.unique(keys >> np.uint64(32))))
+    save(f"file://{tmp_path}/trie/level", Level.encode(keys, p, backs, counts))
+    level = open_level(f"file://{tmp_path}/trie/level")
+    assert not level.codes.flags.owndata
     asked = np.concatenate((keys, keys + np.uint64(1), keys + (np.uint64(1) << np.uint64(40))))
     want = np.array([int(np.searchsorted(keys, k)) if k in set(keys.tolist()) else -1 for k in asked])
     assert (level.find(asked) == want).all()
-    assert np.abs(dequantise(quantise(counts)) / counts - 1).max() < 1e-3
+    assert np.abs(dequantise(quantise(p)) / p - 1).max() < 1e-3 and (level.codes == quantise(p)).all() and (level.counts == counts).all()
+    context = np.unique(keys >> np.uint64(32))
+    assert (level.back_codes(np.append(context, np.uint64(10**6))) == np.append(quantise(backs), 1)).all()
 
 
-def test_scores(spark, monkeypatch):
+def test_scores(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(ngram, "BLOCK", 50_000)
-    monkeypatch.setattr(ngram, "SHARD", 20_000)
+    monkeypatch.setattr(ngram, "SHARD", 500)
     df = documents(spark)
     tokens = {d: [*t.encode().lower().split(), None] for d, t in texts(df).items()}
     one, two, three = Counter(), Counter(), Counter()
@@ -541,8 +545,10 @@ def test_scores(spark, monkeypatch):
     for (u, _), c in two.items():
         kept2[u] += c if c >= 2 else 0
     for (u, v, _), c in three.items():
-        kept3[u, v] += c if c >= 4 else 0
-    got = ngram.score_texts(df, toxicity.held_out("doc_id", 10), least=(1, 2, 4)).collect()
+        kept3[u, v] += c if c >= 2 else 0
+    assert max(one.values()) > 2_000  # a context in parts
+    got = ngram.score_texts(df, toxicity.held_out("doc_id", 10), trie=f"file://{tmp_path}/trie").collect()
+    assert len(list((tmp_path / "trie" / "level-3").iterdir())) > 10
     assert len(got) == len(tokens)
     gain = 0.0
     for r in got:
@@ -555,9 +561,9 @@ def test_scores(spark, monkeypatch):
             if one[u] >= 2:
                 c = two[u, t] if two[u, t] >= 2 else 0
                 p = (c + (one[u] - kept2[u] + 4) * p) / (one[u] + 4)
-            if i and two[x[i - 1], u] >= 4:
+            if i and two[x[i - 1], u] >= 2:
                 h, c = two[x[i - 1], u], three[x[i - 1], u, t]
-                p = ((c if c >= 4 else 0) + (h - kept3[x[i - 1], u] + 4) * p) / (h + 4)
+                p = ((c if c >= 2 else 0) + (h - kept3[x[i - 1], u] + 4) * p) / (h + 4)
             score += math.log10(p)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(one[t] > 0 for t in w), total)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=3e-3)
