@@ -236,10 +236,9 @@ def _refined(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
                 n = len(line)
                 todo = [(own, short, tuple(spec))] if spec else [(True, n, (0, n, edits, 0))] + [(False, s, (0, s, edits, n - s)) for s in range(max(1, n - edits), n + 1)]
                 for mine, size, old in todo:
-                    parts = 4 if spec else 9
-                    made = [(mine, new) for new in split_spec(old, parts, mine) if mine or any(new[3::4])]  # a probe without any shift is an own key
+                    made = [(mine, new) for new in split_spec(old, 4 if spec else 9, mine) if mine or any(new[3::4])]  # a probe without any shift is an own key
                     if mine and spec:  # a letter more in one piece and one less in another
-                        made += [(False, new) for new in split_spec(old, parts, False) if any(new[3::4])]
+                        made += [(False, new) for new in split_spec(old, 4, False) if any(new[3::4])]
                     out += [(spec_key(line, size, new), number, is_own, size, list(new), *free_ends(line, new)) for is_own, new in made]
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), KEYED, strict=True)], schema=KEYED)
@@ -247,7 +246,8 @@ def _refined(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), KEYED, strict=True)], schema=KEYED)
 
-    found = rows.join(lines, "ord").select("ord", "line", "own", "short", "spec").mapInArrow(run, KEYED_SQL)
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a line makes hundreds of keys, so few lines are spread too
+    found = rows.join(lines, "ord").select("ord", "line", "own", "short", "spec").repartition(n).mapInArrow(run, KEYED_SQL)
     return staged(found.distinct(), "refined")
 
 
@@ -263,7 +263,7 @@ def later_lines(rows: DataFrame, lines: DataFrame, edits: int, hot: int) -> Data
     first that has the key as its own. Lines that this decides ask no more. What is left is compared with all earlier
     lines at the key if the key has `hot` lines or so many undecided ones at most, so a row meets `hot` others. Fuller
     keys are narrowed: their lines are cut in nine parts, of which those with the edits are free and all others have
-    to be equal, and those parts in four as often as needed. When free stretches have one character each, a key's
+    to be equal, and the free parts in four as often as needed. When free stretches have one character each, a key's
     lines are as many as the alphabet allows, whatever the number of documents, and are all compared.
     """
 
@@ -287,27 +287,25 @@ def later_lines(rows: DataFrame, lines: DataFrame, edits: int, hot: int) -> Data
         # Each of several free stretches has an edit: a key whose lines all agree in one has nothing that a narrower key lacks.
         differ = (F.coalesce(F.max(F.size("spec")), F.lit(0)) <= 4) | ((F.min("u") != F.max("u")) & (F.min("v") != F.max("v")))
         firsts = rows.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("ord"))).alias("i0"), F.min("ord").alias("r0"), F.count("*").alias("c"), differ.alias("differ"))
-        firsts = staged(firsts.filter("i0 is not null and c > 1 and differ").drop("differ"), "first")
-        at = rows.join(firsts, "key")
+        at = staged(rows.join(firsts.filter("i0 is not null and c > 1 and differ").drop("differ"), "key"), "at")
         star = at.filter("i0 < ord").select("ord", F.col("i0").alias("cand")).unionByName(at.filter("own and r0 < i0 and r0 < ord").select("ord", F.col("r0").alias("cand")))
-        decided = decide(star.join(decided, "ord", "left_anti"), decided)
+        decided = decide(star, decided)
         # Rows that an earlier line but those two may decide.
         more = at.filter("c > 2 and ord > if(own, r0, i0)").join(decided, "ord", "left_anti")
-        more = staged(more, "more")
         leaf = F.when(F.col("spec").isNull(), False).otherwise(F.forall(F.sequence(F.lit(0), (F.size("spec") / 4 - 1).cast("int")), lambda i: F.get("spec", i * 4 + 1) - F.get("spec", i * 4) <= 1))
-        sizes = more.groupBy("key", "c").agg(F.count("*").alias("u"), F.min(leaf).alias("leaf"))
-        sizes = staged(sizes.withColumn("direct", F.col("leaf") | (F.least("u", "c") <= hot)), "sizes")
-        asking = more.join(sizes.filter("direct").select("key"), "key").select("key", "ord", "own", "i0", "r0")
+        sizes = more.groupBy("key").agg((F.min(leaf) | (F.least(F.count("*"), F.first("c")) <= hot)).alias("direct"))
+        asking = staged(more.join(sizes, "key").select("key", "ord", "own", "i0", "r0", "direct"), "asking")
         earlier = rows.select(F.col("key").alias("same"), F.col("ord").alias("cand"), F.col("own").alias("other"))
-        pairs = asking.join(earlier, (F.col("key") == F.col("same")) & (F.col("cand") < F.col("ord")) & (F.col("own") | F.col("other")) & (F.col("cand") != F.col("i0")) & ~(F.col("own") & (F.col("cand") == F.col("r0"))))
-        decided = decide(pairs.select("ord", "cand"), decided)
-        full = staged(rows.join(sizes.filter("not direct").select("key"), "key").select("ord", "own", "short", "spec").distinct(), "full")
-        empty = full.isEmpty()
-        if not empty:
-            narrowed = full.filter("spec is not null").unionByName(full.filter("spec is null").select("ord", F.lit(True).alias("own"), "short", "spec").distinct())
-            narrowed = _refined(lines, narrowed, edits)
-        discard(rows, firsts, more, sizes, full)
-        if empty:
+        direct = asking.filter("direct").join(earlier, (F.col("key") == F.col("same")) & (F.col("cand") < F.col("ord")) & (F.col("own") | F.col("other")) & (F.col("cand") != F.col("i0")) & ~(F.col("own") & (F.col("cand") == F.col("r0"))))
+        decided = decide(direct.select("ord", "cand"), decided)
+        full = asking.filter("not direct").select("key").distinct()
+        more_levels = not full.isEmpty()
+        if more_levels:
+            full = rows.join(full, "key")
+            whole = full.filter("spec is null").select("ord", F.lit(True).alias("own"), "short", "spec").distinct()
+            narrowed = _refined(lines, full.filter("spec is not null").select("ord", "own", "short", "spec").unionByName(whole), edits)
+        discard(rows, at, asking)
+        if not more_levels:
             return decided
         rows = narrowed
 
