@@ -293,20 +293,23 @@ def later_lines(rows: DataFrame, lines: DataFrame, edits: int, hot: int) -> Data
         # Rows that an earlier line but those two may decide.
         more = at.filter("c > 2 and ord > if(own, r0, i0)").join(decided, "ord", "left_anti")
         leaf = F.when(F.col("spec").isNull(), False).otherwise(F.forall(F.sequence(F.lit(0), (F.size("spec") / 4 - 1).cast("int")), lambda i: F.get("spec", i * 4 + 1) - F.get("spec", i * 4) <= 1))
-        sizes = more.groupBy("key").agg((F.min(leaf) | (F.least(F.count("*"), F.first("c")) <= hot)).alias("direct"))
-        asking = staged(more.join(sizes, "key").select("key", "ord", "own", "i0", "r0", "direct"), "asking")
+        sizes = staged(more.groupBy("key").agg((F.min(leaf) | (F.least(F.count("*"), F.first("c")) <= hot)).alias("direct")), "sizes")
+        asking = more.join(sizes.filter("direct"), "key", "left_semi").select("key", "ord", "own", "i0", "r0")
         earlier = rows.select(F.col("key").alias("same"), F.col("ord").alias("cand"), F.col("own").alias("other"))
-        direct = asking.filter("direct").join(earlier, (F.col("key") == F.col("same")) & (F.col("cand") < F.col("ord")) & (F.col("own") | F.col("other")) & (F.col("cand") != F.col("i0")) & ~(F.col("own") & (F.col("cand") == F.col("r0"))))
+        direct = asking.join(earlier, (F.col("key") == F.col("same")) & (F.col("cand") < F.col("ord")) & (F.col("own") | F.col("other")) & (F.col("cand") != F.col("i0")) & ~(F.col("own") & (F.col("cand") == F.col("r0"))))
         decided = decide(direct.select("ord", "cand"), decided)
-        full = asking.filter("not direct").select("key").distinct()
+        full = sizes.filter("not direct")
         more_levels = not full.isEmpty()
         if more_levels:
-            full = rows.join(full, "key")
+            full = rows.join(full, "key", "left_semi")
             whole = full.filter("spec is null").select("ord", F.lit(True).alias("own"), "short", "spec").distinct()
+            wider, lines = lines, staged(lines.join(full.select("ord").distinct(), "ord", "left_semi"), "contents")  # later rounds move these only
             narrowed = _refined(lines, full.filter("spec is not null").select("ord", "own", "short", "spec").unionByName(whole), edits)
-        discard(rows, at, asking)
+        discard(rows, at, sizes)
         if not more_levels:
             return decided
+        if hasattr(wider, "_scratch"):
+            discard(wider)
         rows = narrowed
 
 
