@@ -316,9 +316,13 @@ def revision_triangle(vintages: DataFrame) -> DataFrame:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """rows, hash: independent of the order of rows; a sum of row hashes, so nothing is gathered."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash"))
+    """rows, hash: independent of the order of rows; a sum of row hashes, so nothing is gathered.
+
+    A row's hash are the first 15 hexadecimal digits of the MD5 of its cells as text, in the order of column names.
+    """
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in sorted(df.columns)]
+    h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells)), 1, 15), 16, 10)
+    return df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("hash"))
 
 
 def sanitised(df: DataFrame) -> DataFrame:

@@ -74,9 +74,9 @@ def queries() -> dict:
         "dc_diffusion": lambda s, d: rounded(decompose.diffusion(*_components(s, d))),
         "dc_dispersion": lambda s, d: rounded(decompose.dispersion(*_components(s, d)), 5),
         "dc_freq": lambda s, d: rounded(decompose.change_frequency(panels.dense_panel(s, d))),
-        "ml_pairs": lambda s, d: rounded(multilateral.log_pairs(panels.dense_panel(s, d).filter("period < '1996-01-01'"))),
-        "ml_geks": lambda s, d: rounded(multilateral.geks(panels.dense_panel(s, d).filter("period < '1997-02-01'"))),
-        "ml_geks_tornqvist": lambda s, d: rounded(multilateral.geks(panels.sparse_panel(s, d).filter("period < '1997-02-01'"), "tornqvist")),
+        "ml_pairs": lambda s, d: rounded(multilateral.log_pairs(panels.dense_panel(s, d))),
+        "ml_geks": lambda s, d: rounded(multilateral.geks(panels.dense_panel(s, d))),
+        "ml_geks_tornqvist": lambda s, d: rounded(multilateral.geks(panels.sparse_panel(s, d), "tornqvist")),
         "ml_tpd": lambda s, d: rounded(multilateral.time_product_dummy(panels.sparse_panel(s, d))),
         "ml_wtpd": lambda s, d: rounded(multilateral.time_product_dummy(panels.sparse_panel(s, d), weighted=True)),
         "ml_gk": lambda s, d: rounded(multilateral.geary_khamis(panels.sparse_panel(s, d))),
@@ -164,10 +164,10 @@ def oracle_sql() -> dict[str, str]:
     }
     two = """t AS (SELECT a.period AS s, b.period AS t, sum(b.price * a.quantity) / sum(a.price * a.quantity) AS l, sum(b.price * b.quantity) / sum(a.price * b.quantity) AS p,
       0.5 * (sum(a.expenditure * ln(b.price / a.price)) / sum(a.expenditure) + sum(b.expenditure * ln(b.price / a.price)) / sum(b.expenditure)) AS tq, count(*) AS n
-      FROM panel a JOIN panel b ON a.item_id = b.item_id AND a.period < b.period WHERE a.period < {0} AND b.period < {0} AND a.price > 0 AND b.price > 0 GROUP BY 1, 2 HAVING count(*) >= 2)"""
-    geks = """, both_ AS (SELECT s, t, {0} AS r FROM t UNION ALL SELECT t, s, -({0}) FROM t UNION ALL SELECT DISTINCT period, period, 0.0 FROM panel WHERE period < DATE '1997-02-01'),
+      FROM panel a JOIN panel b ON a.item_id = b.item_id AND a.period < b.period WHERE a.price > 0 AND b.price > 0 GROUP BY 1, 2 HAVING count(*) >= 2)"""
+    geks = """, both_ AS (SELECT s, t, {0} AS r FROM t UNION ALL SELECT t, s, -({0}) FROM t UNION ALL SELECT DISTINCT period, period, 0.0 FROM panel),
       f AS (SELECT min(period) AS t0 FROM panel) SELECT b.t AS period, round(100 * exp(avg(b.r - z.r)), 6) AS "index" FROM both_ b JOIN both_ z ON b.s = z.s, f WHERE z.t = f.t0 GROUP BY 1"""
-    out["ml_pairs"] = f"WITH {sql.DENSE}, {two.format(chr(68) + 'ATE ' + repr('1996-01-01'))} SELECT s, t, round(0.5 * ln(l * p), 6) AS log_ratio, n AS matched FROM t"
-    out["ml_geks"] = f"WITH {sql.DENSE}, {two.format(chr(68) + 'ATE ' + repr('1997-02-01'))}" + geks.format("0.5 * ln(l * p)")
-    out["ml_geks_tornqvist"] = f"WITH {sql.SPARSE}, {two.format(chr(68) + 'ATE ' + repr('1997-02-01'))}" + geks.format("tq")
+    out["ml_pairs"] = f"WITH {sql.DENSE}, {two} SELECT s, t, round(0.5 * ln(l * p), 6) AS log_ratio, n AS matched FROM t"
+    out["ml_geks"] = f"WITH {sql.DENSE}, {two}" + geks.format("0.5 * ln(l * p)")
+    out["ml_geks_tornqvist"] = f"WITH {sql.SPARSE}, {two}" + geks.format("tq")
     return out
