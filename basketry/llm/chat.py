@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from basketry.llm.store import discard, staged
 
 #: A line that announces a quotation.
-ATTRIBUTION = r"^\s*(?:On\b.*\bwrote:|Am\b.*\bschrieb.*:|Le\b.*\ba écrit\s*:|El\b.*\bescribió:|.{1,80}\b(?:wrote|said):)\s*$"
+ATTRIBUTION = r"(?:On\b.*\bwrote:|Am\b.*\bschrieb.*:|Le\b.*\ba écrit[ \t]*:|El\b.*\bescribió:|.{1,80}\b(?:wrote|said):)"
 #: The marks before a quoted line, with spaces between them.
-MARKS = r"^(?:[ \t]*>)+"
+MARKS = r"^[ \t>]*>"
+#: What an announcing line is replaced by; no text line has this character alone.
+ANNOUNCED = "\x00"
 
 
 def quote_level(line: Column) -> Column:
@@ -28,17 +30,22 @@ def parsed_lines(text: Column) -> Column:
 
     A line announces a quotation if it reads like one and the next line that isn't blank is quoted.
     """
-    lines = F.split(F.coalesce(text.cast("string"), F.lit("")), "\r?\n", -1)
-    marked = F.transform(lines, lambda x, i: F.struct(i.alias("at"), quote_level(x).alias("level"), x.alias("line")))
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    told = F.regexp_replace(text, rf"(?md)^[ \t]*{ATTRIBUTION}[ \t\r]*$(?=[ \t\r\n]*+>)", ANNOUNCED)
+    # Texts without a mark are one's own words throughout; only others are searched for announcements.
+    quoted = F.transform(F.split(told, "\r?\n", -1), lambda x, i: F.struct(i.alias("at"), quote_level(x).alias("level"), x.alias("line"), ((quote_level(x) == 0) & (x != ANNOUNCED)).alias("own")))
+    plain = F.transform(F.split(text, "\r?\n", -1), lambda x, i: F.struct(i.alias("at"), F.lit(0).alias("level"), x.alias("line"), F.lit(True).alias("own")))
+    return F.when(F.contains(text, F.lit(">")), quoted).otherwise(plain)
 
-    def announces(x: Column, all_: Column) -> Column:
-        nexts = F.filter(F.slice(all_, x["at"] + 2, 2), lambda y: (y["level"] > 0) | (F.trim(y["line"]) != ""))
-        return x["line"].rlike(ATTRIBUTION) & F.coalesce(F.get(nexts, F.lit(0))["level"] > 0, F.lit(False))
 
-    # Texts without a mark are one's own words throughout; only others pay for the look ahead.
-    quoted = F.transform(marked, lambda x: F.struct(x["at"].alias("at"), x["level"].alias("level"), x["line"].alias("line"), ((x["level"] == 0) & ~announces(x, marked)).alias("own")))
-    plain = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.lit(0).alias("level"), x.alias("line"), F.lit(True).alias("own")))
-    return F.when(F.contains(F.coalesce(text.cast("string"), F.lit("")), F.lit(">")), quoted).otherwise(plain)
+def units(words: Column) -> Column:
+    """The parts in which normalised lines can be quoted, as (kind, parts): lines that aren't blank, and sentences.
+
+    Sentences are cut in the lines joined by spaces, so that a quotation in other line breaks has the same ones.
+    """
+    lines = F.filter(F.split(words, "\n"), lambda x: x != "")
+    sentences = F.filter(F.split(F.array_join(lines, " "), r"(?<=[.!?])\s+"), lambda x: x != "")
+    return F.array(F.struct(F.lit("line").alias("kind"), lines.alias("parts")), F.struct(F.lit("sentence").alias("kind"), sentences.alias("parts")))
 
 
 def passages(text: Column) -> Column:
@@ -62,10 +69,12 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
 
     Lines with `>` marks are quoted, as often as they have marks; runs of one level are passages. A message's own
     words are what is left without passages and the lines that announce them. A passage is looked up among the own
-    words of the conversation: as a whole message, or as lines in a row of one, by the hashes of the normalised text
-    of the passage's first line and of its whole. Its original is the earliest message that holds it (only the least
-    turn of each hash is kept, so a line that thousands of messages hold is one row), and counts if it comes before
-    the quoting one. A message replies to the latest original among its passages of the lowest level.
+    words of the conversation by the hash of its normalised lines: all of them, blank ones apart, have to stand in a
+    row in the original; or all of its sentences, which also finds passages in other line breaks and parts of a line.
+    Runs are made of the lengths that a conversation's passages have, and only the least turn of each hash is kept, so
+    a line that thousands of messages hold is one row. The original is the earliest message that holds the passage,
+    and counts if it comes before the quoting one. A message replies to the latest original among its passages of the
+    lowest level.
 
     Replies hang on what they reply to: `path` lists the turns from the first message of the thread, so sorting by
     (conv_col, path) gives a conversation in reply order. A message that quotes nothing begins a thread.
@@ -82,16 +91,19 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     parsed = rows.select("c", "t", "role", passages(F.col("text")).alias("quotes"), body.alias("body"), F.monotonically_increasing_id().alias("row"))
     parsed = staged(parsed, "parsed")
     quotes = parsed.filter(F.size("quotes") > 0).select("row", "c", "t", F.posexplode("quotes").alias("q", "x"))
-    first = F.split(F.col("x.words"), "\n")[0]
-    quotes = quotes.select("row", "c", "t", "q", "x.level", F.sha2("x.words", 256).alias("whole"), F.sha2(first, 256).alias("first"))
-    # Own words of conversations that quote at all: whole messages and their lines, the earliest turn of each hash.
-    heard = parsed.join(quotes.select("c").distinct(), "c", "left_semi").select("c", "t", "body")
-    lines = F.transform(F.split("body", "\n"), normal)
-    told = heard.select("c", "t", F.explode(F.array_distinct(F.concat(F.array(F.array_join(lines, "\n")), lines))).alias("words")).filter("words != ''")
-    originals = staged(told.groupBy("c", F.sha2("words", 256).alias("hash")).agg(F.min("t").alias("o")), "originals")
-    by_whole = quotes.join(originals.select("c", F.col("hash").alias("whole"), F.col("o").alias("o1")), ["c", "whole"], "left")
-    found = by_whole.join(originals.select("c", F.col("hash").alias("first"), F.col("o").alias("o2")), ["c", "first"], "left")
-    found = found.withColumn("o", F.coalesce(F.when(F.col("o1") < F.col("t"), F.col("o1")), F.when(F.col("o2") < F.col("t"), F.col("o2"))))
+    quotes = quotes.select("row", "c", "t", "q", "x.level", F.explode(units(F.col("x.words"))).alias("u"))
+    quotes = quotes.select("row", "c", "t", "q", "level", "u.kind", F.size("u.parts").alias("k"), F.sha2(F.array_join("u.parts", "\n"), 256).alias("hash"))
+    # Runs of own words, of the lengths that passages of the conversation have: the earliest turn of each hash.
+    asked = staged(quotes.select("c", "kind", "k").filter("k > 0").distinct(), "asked")
+    heard = parsed.join(asked.select("c").distinct(), "c", "left_semi")
+    own_units = units(F.array_join(F.transform(F.split("body", "\n"), normal), "\n"))
+    heard = heard.select("c", "t", F.explode(own_units).alias("u")).select("c", "t", "u.kind", "u.parts")
+    runs = F.transform(F.sequence(F.lit(0), F.size("parts") - F.col("k")), lambda i: F.sha2(F.array_join(F.slice("parts", i + 1, F.col("k")), "\n"), 256))
+    told = heard.join(asked, ["c", "kind"]).filter(F.size("parts") >= F.col("k")).select("c", "t", "kind", "k", F.explode(F.array_distinct(runs)).alias("hash"))
+    originals = staged(told.groupBy("c", "kind", "k", "hash").agg(F.min("t").alias("o")), "originals")
+    discard(asked)
+    found = quotes.join(originals, ["c", "kind", "k", "hash"], "left")
+    found = found.groupBy("row", "q", "level").agg(F.min(F.when(F.col("o") < F.col("t"), F.col("o"))).alias("o"))
     nearest = F.max(F.when(F.col("o").isNotNull(), F.struct((-F.col("level")).alias("l"), F.col("o").alias("o"))))
     replies = staged(found.groupBy("row").agg(F.count("o").alias("n_linked"), nearest.alias("n")).select("row", "n_linked", F.col("n.o").alias("reply_to")), "replies")
     linked = staged(parsed.join(replies, "row", "left"), "linked")

@@ -589,6 +589,22 @@ def test_quotes_are_linked(spark):
     assert (got[1, 2]["n_quotes"], got[1, 2]["n_linked"]) == (2, 2)
 
 
+def test_quotes_with_blank_lines_other_breaks_and_greetings(spark):
+    rows = [
+        (1, 0, "a", "Hi all,\nthe meeting is on Monday."),
+        (1, 1, "b", "Hi all,\nthe build is broken. Who can\nlook at it today?"),
+        (1, 2, "c", "Bob wrote:\n\n\n\n>\n> Hi all,\n>\n> the build is broken. Who can\n> look at it today?\n>\nI can."),
+        (1, 3, "d", "> who can look\n> at it today?\nNot me\n> I can.\nThanks"),
+        (1, 4, "e", "> Hi all,\n> nobody wrote this\nWhat?"),
+        (1, 5, "f", "She said:\nnothing is quoted\n>\n>\nok"),
+        (None, 6, "g", "> I can.\nlost"),
+    ]
+    got = {r["turn"]: r for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: r["reply_to"] for k, r in got.items()} == {0: None, 1: None, 2: 1, 3: 2, 4: None, 5: None, 6: None}
+    assert got[2]["body"] == "I can." and (got[3]["n_quotes"], got[3]["n_linked"]) == (2, 2)
+    assert got[4]["body"] == "What?" and got[5]["body"].startswith("She said:\nnothing is quoted")
+
+
 def test_triples_counted_twice_count(spark):
     """A phrase that training holds three times, whose pairs also stand elsewhere, is scored from its triple."""
     rows = [(i, "one two three") for i in range(3)] + [(10 + i, "one two four") for i in range(9)] + [(30 + i, "six two three") for i in range(9)]
