@@ -57,10 +57,12 @@ def _ring_links(percent: int):
 
     Members whose distances to the pivot differ by more than the threshold are not compared (triangle inequality),
     nor are those that links found before already connect; one link is returned for each pair of parts it connects.
+    A group of two blocks compares one block's members with the other's.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        row, own, n = (table.column(c).to_numpy() for c in ("row", "own", "n"))
+        row, own, n, home, i0, j0 = (table.column(c).to_numpy() for c in ("row", "own", "n", "home", "i", "j"))
+        across = len(row) > 0 and i0[0] != j0[0]
         far = table.column("far").to_numpy()
         sets = [np.asarray(s.values) for s in table.column("set")]
         part = list(range(len(row)))
@@ -78,7 +80,7 @@ def _ring_links(percent: int):
         for i in np.flatnonzero(own):
             lo, hi = np.searchsorted(sorted_far, [far[i] - eps, far[i] + eps], side="left")
             for j in order[lo : hi + 1]:
-                if i == j or (own[j] and row[j] < row[i]) or 100 * min(n[i], n[j]) < percent * max(n[i], n[j]) or root(i) == root(j):
+                if i == j or (across and home[i] == home[j]) or (own[j] and row[j] < row[i]) or 100 * min(n[i], n[j]) < percent * max(n[i], n[j]) or root(i) == root(j):
                     continue
                 if _linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), n[i], n[j], percent):
                     links.append((int(row[i]), int(row[j])))
@@ -88,7 +90,7 @@ def _ring_links(percent: int):
     return run
 
 
-def set_links(sets: DataFrame, percent: int, block: int = 2000) -> DataFrame:
+def set_links(sets: DataFrame, percent: int, block: int = 2000, load: int = 8_000_000) -> DataFrame:
     """Links a, b (rows) that connect what the links of all sets connect: sets has row, n, set (sorted, distinct sets).
 
     Shingles are ranked, rarest first. A linked pair's first common shingle is among the first lacking(n) + 1 of
@@ -96,7 +98,10 @@ def set_links(sets: DataFrame, percent: int, block: int = 2000) -> DataFrame:
     of the pivots at its sites, so any two linked documents meet in one. A document within the threshold of a pivot
     is linked with it, and such balls need no further comparison inside. The others lie in rings of one threshold's
     width around the pivot; by the triangle inequality a ring is joined with itself and with the ring inside it, whose
-    documents are copied to it. A ring of more than `block` documents is joined block by block.
+    documents are copied to it. A ring of more than `block` documents or `load` shingles is parted by the sites of its
+    pivot, since linked documents also share one of these: every document goes to its own sites there. What is still
+    fuller, as all its documents share a site, is dealt to blocks, and every two blocks are one group: a task holds
+    two blocks of sets at most.
     """
     items = sets.select("row", "n", F.explode("set").alias("s"))
     counts = items.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
@@ -111,7 +116,8 @@ def set_links(sets: DataFrame, percent: int, block: int = 2000) -> DataFrame:
     sites = staged(shared.withColumn("i", F.row_number().over(place) + alone).filter(F.col("i") <= allowed).select("row", "s"), "sites")
     discard(found)
     pivots = sites.groupBy("s").agg(F.min("row").alias("p"), F.max("row").alias("q")).filter("p < q").select("s", "p")
-    met = sites.join(staged(pivots, "pivots"), "s").select("p", "row").distinct()
+    pivots = staged(pivots, "pivots")
+    met = sites.join(pivots, "s").select("p", "row").distinct()
     member = sets.select("row", "n", "set")
     regions = met.join(member, "row").join(sets.select(F.col("row").alias("p"), F.col("n").alias("pn"), F.col("set").alias("pset")), "p")
     regions = regions.withColumn("o", F.when(F.col("p") == F.col("row"), F.col("n")).otherwise(_overlap("set", "pset")))
@@ -123,14 +129,24 @@ def set_links(sets: DataFrame, percent: int, block: int = 2000) -> DataFrame:
     ringed = far.withColumn("ring", ring)
     own = ringed.filter("ring > 0")
     inside = ringed.withColumn("ring", F.col("ring") + 1).join(own.select("p", "ring").distinct(), ["p", "ring"], "left_semi")
-    sizes = own.select("p", "ring").unionByName(inside.select("p", "ring")).groupBy("p", "ring").agg(F.count("*").alias("size")).filter("size > 1")
-    sizes = staged(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "rings")
     every = own.withColumn("own", F.lit(True)).unionByName(inside.withColumn("own", F.lit(False)))
-    every = every.join(sizes, ["p", "ring"])
-    home = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    every = every.withColumn("home", home).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    every = every.select("p", "ring", "block", "row", (F.col("own") & (F.col("home") == F.col("block"))).alias("own"), "far")
-    across = every.join(member, "row").groupBy("p", "ring", "block").applyInArrow(_ring_links(percent), "a long, b long")
+
+    def sized(rows: DataFrame, *keys: str) -> DataFrame:
+        found = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.sum("n").alias("all"), F.max("own").alias("any")).filter("size > 1 and any")
+        blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all") / load), F.lit(1)).cast("int")
+        return staged(found.select(*keys, blocks.alias("blocks")), "sizes")
+
+    rings = sized(every, "p", "ring")
+    every = every.select("p", "ring", "row", "n", "own", "far").join(rings, ["p", "ring"])
+    cells = every.filter("blocks = 1").withColumn("s", F.lit(0).cast("long"))
+    if not rings.filter("blocks > 1").isEmpty():
+        placed = sites.join(pivots, "s").select("p", "row", "s")
+        parted = staged(every.filter("blocks > 1").drop("blocks").join(placed, ["p", "row"]), "parted")
+        cells = cells.unionByName(parted.join(sized(parted, "p", "ring", "s"), ["p", "ring", "s"]))
+    cells = cells.withColumn("home", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("p", "ring", "s", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "row", "own", "home", "far")
+    across = cells.join(member, "row").groupBy("p", "ring", "s", "i", "j").applyInArrow(_ring_links(percent), "a long, b long")
     return stars.unionByName(across)
 
 

@@ -498,6 +498,31 @@ def test_components(spark):
         assert got == brute_components(docs, n, percent)
 
 
+def test_full_rings_are_parted(spark):
+    """Edits of one text that lie beyond the threshold from it: rings of more documents or shingles than a group may hold."""
+    rng = random.Random(8)
+    base, sets = list(range(40)), {}
+    for i in range(120):
+        kept = [x for x in base if rng.random() > 0.15]
+        sets[i] = sorted({*kept, *rng.sample(range(40, 60), 3)})
+    sets = {i: s for i, s in sets.items() if s not in [sets[j] for j in range(i)]}
+    df = spark.createDataFrame([(i, len(s), s) for i, s in sets.items()], "row long, n long, set array<long>")
+    linked = lambda a, b: 100 * len({*a} & {*b}) >= 75 * len({*a} | {*b})
+
+    def parts(links):
+        root = {i: i for i in sets}
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+        return root
+
+    want = parts([(a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b])])
+    assert 2 < len(set(want.values())) < len(sets) - 10
+    for block, load in ((2000, 8_000_000), (5, 8_000_000), (2000, 150)):
+        links = [tuple(r) for r in jaccard.set_links(df, 75, block, load).collect()]
+        assert all(linked(sets[a], sets[b]) for a, b in links) and parts(links) == want
+
+
 # --- 9: n-grams ---
 
 
