@@ -129,15 +129,21 @@ def bucket_covers(contexts: list[tuple[bytes, bytes, tuple]], length: int) -> di
     return covers
 
 
-def maximal_repeats(contexts: list[tuple[bytes, bytes, tuple]], length: int) -> list[tuple[int, int, int, int]]:
-    """(left, right, first, last) of the intervals that make up `length` and whose members differ beyond `left` bytes to the left."""
-    out = []
+def maximal_repeats(contexts: list[tuple[bytes, bytes, tuple]], length: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(left, right, members) of the maximal repeats around one anchor that make up `length`.
+
+    The members of a suffix interval agree in `right` bytes; sorted by what stands to their left, they fall into
+    intervals of their own, whose members agree in `left` bytes and differ in the byte before. Such a group is maximal
+    if it differs in the byte behind too: otherwise a narrower suffix interval has it with more bytes.
+    """
     for right, first, last in intervals([c[0] for c in contexts]):
-        lefts = [contexts[i][1] for i in range(first, last + 1)]
-        shared = common(min(lefts), max(lefts))
-        if shared + right >= length:
-            out.append((shared, right, first, last))
-    return out
+        if right + max(len(contexts[i][1]) for i in range(first, last + 1)) < length:
+            continue
+        order = sorted(range(first, last + 1), key=lambda i: contexts[i][1])
+        for left, a, b in intervals([contexts[i][1] for i in order]):
+            members = order[a : b + 1]
+            if left + right >= length and common(contexts[min(members)][0], contexts[max(members)][0]) == right:
+                yield left, right, members
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -155,10 +161,10 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     return rows, staged(texts.join(firsts, "hash").withColumn("copy", F.col("ord") != F.col("first")).drop("first"), "ordered")
 
 
-def repeat_contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def repeat_contexts(rows: DataFrame, texts: DataFrame, length: int, reach: int) -> DataFrame:
     """Every occurrence of an anchor that has another one: ca, cb (hash of its context), h, row, ord, pos, nl, nr.
 
-    The context is the `length` - GRAM bytes before the anchor and the `length` bytes from it on; nl and nr are how
+    The context is the `reach` - GRAM bytes before the anchor and the `reach` bytes from it on; nl and nr are how
     many of them the text has.
     """
     firsts = texts.filter(~F.col("copy") & (F.col("n_bytes") >= length)).select("row", "ord")
@@ -181,7 +187,7 @@ def repeat_contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame
     discard(found, shared)
 
     def contexts(batches):
-        before = length - GRAM
+        before = reach - GRAM
         for batch in (part for b in batches for part in slices(b)):
             out: list[list] = [[], [], [], [], [], []]
             data, wanted = as_bytes(batch.column(2)), batch.column(3)
@@ -189,13 +195,13 @@ def repeat_contexts(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame
             for i, (places, h) in enumerate(anchors(data, length)):
                 keep = np.isin(h, np.asarray(wanted[i].values).view(np.uint64))
                 text, p = data[i], places[keep]
-                found = [digest(text[max(0, k - before) : k + length], min(k, before)) for k in p.tolist()]
+                found = [digest(text[max(0, k - before) : k + reach], min(k, before)) for k in p.tolist()]
                 out[0].append(np.frombuffer(b"".join(found), np.int64).reshape(-1, 2))
                 out[1].append(h[keep].view(np.int64))
                 out[2].append(np.full(len(p), batch.column(0)[i].as_py()))
                 out[3].append(np.full(len(p), batch.column(1)[i].as_py()))
                 out[4].append(p)
-                out[5].append(np.minimum(length, len(text) - p))
+                out[5].append(np.minimum(reach, len(text) - p))
             ca, h, row, order, p, nr = (np.concatenate(x) for x in out)
             cols = [ca[:, 0], ca[:, 1], h, row, order, p.astype(np.int32), np.minimum(p, before).astype(np.int32), nr.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["ca", "cb", "h", "row", "ord", "pos", "nl", "nr"])
@@ -261,13 +267,44 @@ def _scan(length: int):
     return run
 
 
+GROUPED = pa.schema([("ca", pa.int64()), ("cb", pa.int64()), ("left", pa.int64()), ("size", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64())])
+GROUPED_SQL = "ca long, cb long, left long, size long, g1 long, g2 long"
+
+
+def _string_key(text: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(text)
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def _scan_groups(length: int):
+    """Which contexts hold which maximal repeat, named by the hash of its bytes."""
+
     def run(batches):
+        out = []
         for bucket in _buckets(batches):
-            repeats = maximal_repeats(bucket, length)
-            out = [(order, pos - left, left + right) + key for left, right, first, last in repeats for key in [bucket[first][2][:2]] for order, pos, *_ in (bucket[i][2] for i in range(first, last + 1))]
+            for left, right, members in maximal_repeats(bucket, length):
+                x = bucket[members[0]]
+                key = _string_key(x[1][:left][::-1] + x[0][:right])
+                for i in members:
+                    out.append((*bucket[i][2][2:], left, left + right, *key))
+                    if len(out) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=GROUPED)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=GROUPED)
+
+    return run
+
+
+def _whole_contexts(length: int):
+    """The same for contexts that stand in several places: all of their bytes repeat."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("ca", "cb", "left", "right")]
+            out = [(ca, cb, len(x), len(x) + len(y), *_string_key(x[::-1] + y)) for ca, cb, x, y in zip(*cols, strict=True) if len(x) + len(y) >= length]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["ord", "begin", "size", "g1", "g2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=GROUPED)
 
     return run
 
@@ -314,18 +351,32 @@ def context_covers(rows: DataFrame, firsts: DataFrame, length: int, hot: int = H
 def repeat_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, reach: int = 2000) -> DataFrame:
     """Maximal repeats of `length` bytes or more, with all their places: group, id_col, begin, size.
 
-    A group is a common-prefix interval of the suffixes at an anchor whose members differ to the left; it is followed
-    up to `reach` bytes to either side of the anchor, so a longer repeat is told in overlapping parts. Bytes of UTF-8;
-    null is empty; only the first of equal texts is looked at; an empty table gives no row.
+    A repeat is maximal if its places differ both in the byte before and in the byte behind. It is followed up to
+    `reach` bytes to either side of an anchor, so a longer one is told in overlapping parts. A group is named by the
+    hash of its bytes. Bytes of UTF-8; null is empty; equal texts all have their places; an empty table gives no row.
+    Equal contexts are scanned once and get their places back by a join. The different contexts of one anchor are
+    scanned in one task, `reach` bytes to either side each.
     """
     rows, texts = prepared(docs, id_col, text_col)
-    # Each occurrence is a context of its own here: its place is made part of the hash.
-    every = repeat_contexts(rows, texts, length).withColumn("ca", F.xxhash64("ca", "ord", "pos"))
+    every = repeat_contexts(rows, texts, length, reach)
+    firsts = every.groupBy("ca", "cb").agg(F.min("h").alias("h"), F.min(F.struct("ord", "pos", "row")).alias("first"), F.count("*").alias("n"))
+    firsts = staged(firsts, "first-contexts")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = with_bytes(rows, every, reach).repartition(n, "h").sortWithinPartitions("h", "right", "left")
-    found = found.mapInArrow(_scan_groups(length), "ord long, begin long, size long, g1 long, g2 long")
-    named = found.join(texts.select("ord", F.col("id").alias(id_col)), "ord")
-    return named.select(F.struct("g1", "g2", "size").alias("group"), id_col, "begin", "size").distinct()
+    held = firsts.select("h", "ca", "cb", "n", "first.*")
+    scanned = with_bytes(rows, held, reach).repartition(n, "h").sortWithinPartitions("h", "right", "left").mapInArrow(_scan_groups(length), GROUPED_SQL)
+    whole = with_bytes(rows, held.filter("n > 1"), reach).mapInArrow(_whole_contexts(length), GROUPED_SQL)
+    found = scanned.unionByName(whole).join(every.select("ca", "cb", "ord", "pos"), ["ca", "cb"])
+    found = found.select("ord", (F.col("pos") - F.col("left")).alias("begin"), "size", "g1", "g2").distinct()
+    found = staged(found, "groups")
+    discard(every, firsts)
+    # Equal texts: the places of the first hold for all, and each is a repeat as a whole if nothing else has all of it.
+    ids = texts.select(F.col("id").alias(id_col), "hash", F.col("row").alias("_row"))
+    spread = found.join(texts.select("ord", "hash"), "ord").join(ids, "hash").select(F.struct("g1", "g2", "size").alias("group"), id_col, "_row", "begin", "size")
+    twice = texts.groupBy("hash").agg(F.count("*").alias("k"), F.min("ord").alias("ord"), F.first("n_bytes").alias("size")).filter((F.col("k") > 1) & (F.col("size") >= length))
+    twice = twice.join(found.filter("begin = 0").select("ord", "size"), ["ord", "size"], "left_anti")
+    g = [F.xxhash64("hash", F.lit(i)).alias(f"g{i}") for i in (1, 2)]
+    alike = twice.join(ids, "hash").select(F.struct(*g, "size").alias("group"), id_col, "_row", F.lit(0).cast("long").alias("begin"), "size")
+    return spread.unionByName(alike).drop("_row")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot: int = HOT) -> DataFrame:
@@ -340,7 +391,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     other columns are ignored.
     """
     rows, texts = prepared(docs, id_col, text_col)
-    contexts = repeat_contexts(rows, texts, length)
+    contexts = repeat_contexts(rows, texts, length, length)
     firsts = contexts.groupBy("ca", "cb").agg(F.min("h").alias("h"), F.min(F.struct("ord", "pos", "row")).alias("first"), F.count("*").alias("n"))
     firsts = staged(firsts, "first-contexts")
     covers = staged(context_covers(rows, firsts, length, hot), "covers")

@@ -328,6 +328,56 @@ def test_repeat_groups_hold_all_places(spark):
     assert full and set(full.values()) == {5}
 
 
+def brute_groups(docs, length):
+    """The places of every maximal repeat: grow each window's places while all of them agree, to either side."""
+    data = {d: (t or "").encode() for d, t in docs.items()}
+    at = {}
+    for d, b in data.items():
+        for i in range(len(b) - length + 1):
+            at.setdefault(b[i : i + length], set()).add((d, i))
+    found, todo = set(), [(w, frozenset(p)) for w, p in at.items() if len(p) > 1]
+    seen = set()
+    while todo:
+        word, places = todo.pop()
+        if word in seen:
+            continue
+        seen.add(word)
+        n, sides = len(word), []
+        for back in (1, 0):
+            by = {}
+            for d, i in places:
+                j = i - 1 if back else i + n
+                by.setdefault(data[d][j] if 0 <= j < len(data[d]) else (d, i), set()).add((d, i - back))
+            sides.append(len(by) > 1)
+            for c, some in by.items():
+                if len(some) > 1:
+                    todo.append((bytes([c]) + word if back else word + bytes([c]), frozenset(some)))
+        if all(sides):
+            found.add((n, places))
+    return found
+
+
+def test_repeat_groups_equal_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    left, right, core = word(60), word(60), word(40)
+    docs = {
+        1: word(20) + left + core + right + word(9),  # 1 and 2 share all, 3 the right part only
+        2: word(30) + left + core + right + word(5),
+        3: word(70) + core + right + word(8),
+        4: word(200),
+        5: left + core + right,
+        6: left + core + right,  # a copy that also stands in others
+        7: None,
+    }
+    docs |= {8: word(130), 10: word(50) + left + core + word(50) + left + core}
+    docs[9] = docs[8]  # a copy that stands nowhere else
+    got = {}
+    for r in suffixes.repeat_groups(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), length=64).collect():
+        got.setdefault(r["group"], set()).add((r["doc_id"], r["begin"]))
+    assert {(g["size"], frozenset(p)) for g, p in got.items()} == brute_groups(docs, 64)
+
+
 # --- 5: personal data ---
 
 PLAIN = {
