@@ -197,30 +197,37 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _line_hash(hh: bytes) -> int:
+    """64 bits of a line's hash, the last of them 0."""
+    return int.from_bytes(hh[:8], "little", signed=True) & -2
+
+
 def shared_keys(texts: DataFrame, least: int, edits: int) -> DataFrame:
-    """Rows (key, h, own) of the segment keys at which a line's own segment meets another line; h is a line's 64-bit hash.
+    """Rows (key, h, own) of the segment keys at which a line's own segment meets another line; h is a line's _line_hash().
 
+    The rows that are moved hold key and h alone: own is the last bit of h on the way, which a hash leaves free.
     All rows are dealt by key once. A key of which a sample of lines (one in 64) holds a thousandth or more is not
     dealt: there are a thousand such keys at most, and their rows are all kept.
     """
 
     def keys(hh: bytes, line: str) -> list[tuple]:
-        h = int.from_bytes(hh[:8], "little", signed=True)
+        h = _line_hash(hh)
         own, probes = segment_keys(line, edits)
-        return [(_signed(k), h, True) for k in own] + [(_signed(k), h, False) for k in probes]
+        return [(_signed(k), h | 1) for k in own] + [(_signed(k), h) for k in probes]
 
-    schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("own", pa.bool_())])
-    rows = staged(texts.mapInArrow(_each_line(least, keys, schema), "key long, h long, own boolean"), "keys")
-    sample = rows.filter(F.pmod(F.xxhash64("h"), F.lit(64)) == 0)
+    schema = pa.schema([("key", pa.int64()), ("h", pa.int64())])
+    rows = staged(texts.mapInArrow(_each_line(least, keys, schema), "key long, h long"), "keys")
+    line, is_own = F.col("h").bitwiseAND(F.lit(-2)), F.col("h").bitwiseAND(F.lit(1)) == 1
+    sample = rows.filter(F.pmod(F.xxhash64(line), F.lit(64)) == 0)
     floor = max(1000, sample.count() // 1000)
     heavy = [r["key"] for r in sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= floor).collect()]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     usual = (rows.filter(~F.col("key").isin(heavy)) if heavy else rows).repartition(n, "key")
-    met = usual.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("any")).filter("lo < hi and any").select("key")
+    met = usual.groupBy("key").agg(F.min(line).alias("lo"), F.max(line).alias("hi"), F.max(is_own).alias("any")).filter("lo < hi and any").select("key")
     found = usual.join(met.hint("shuffle_merge"), "key")
     if heavy:
         found = found.unionByName(rows.filter(F.col("key").isin(heavy)))
-    out = staged(found, "shared")
+    out = staged(found.select("key", line.alias("h"), is_own.alias("own")), "shared")
     discard(rows)
     return out
 
@@ -324,7 +331,7 @@ def near_lines(texts: DataFrame, firsts: DataFrame, *, least: int, edits: int, h
     sought = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
 
     def content(hh: bytes, line: str) -> list[tuple]:
-        return [(int.from_bytes(hh[:8], "little", signed=True), hh, line)]
+        return [(_line_hash(hh), hh, line)]
 
     schema = pa.schema([("h", pa.int64()), ("hh", pa.binary()), ("line", pa.string())])
     found = texts.mapInArrow(_each_line(least, content, schema), "h long, hh binary, line string").join(sought, "h", "left_semi").dropDuplicates(["hh"])
