@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,29 +32,36 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def segment_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
-    """Hashes of the line's own segments, and of the substrings by which it finds lines that are up to `edits` shorter.
-
-    Two lines within `edits` edits share a segment of the shorter one. Of the longer one only those substrings are
-    probed that can stand against it if the edits before and after are counted from both ends (multi-match-aware).
-    A substring that is a segment of the line itself is not probed again.
-    """
-    n, parts = len(line), edits + 1
-    digest, own = xxhash.xxh3_64_intdigest, []
-    for i, (at, size) in enumerate(segments(n, parts)):
-        own.append(digest(line[at : at + size].encode(), n * 64 + i))
+@lru_cache(maxsize=1 << 14)
+def key_places(n: int, edits: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(begin, end, seed) of the own segments of a line of n characters, and of its probes, see segment_keys()."""
+    parts = edits + 1
+    own = [(at, at + size, n * 64 + i) for i, (at, size) in enumerate(segments(n, parts))]
     probes = []
     for short in range(max(parts, n - edits), n + 1):
         shift = n - short
         for i, (at, size) in enumerate(segments(short, parts)):
             low = max(at - i, at + shift - (edits - i), 0)
             high = min(at + i, at + shift + (edits - i), n - size)
-            for p in range(low, high + 1):
-                if shift or p != at:
-                    probes.append(digest(line[p : p + size].encode(), short * 64 + i))
+            probes += [(p, p + size, short * 64 + i) for p in range(low, high + 1) if shift or p != at]
     return own, probes
 
 
+def segment_keys(line: str, edits: int) -> tuple[list[int], list[int]]:
+    """Hashes of the line's own segments, and of the substrings by which it finds lines that are up to `edits` shorter.
+
+    Two lines within `edits` edits share a segment of the shorter one. Of the longer one only those substrings are
+    probed that can stand against it if the edits before and after are counted from both ends (multi-match-aware).
+    A substring that is a segment of the line itself is not probed again.
+    """
+    digest = xxhash.xxh3_64_intdigest
+    own, probes = key_places(len(line), edits)
+    if line.isascii():
+        raw = line.encode()
+        return [digest(raw[a:b], seed) for a, b, seed in own], [digest(raw[a:b], seed) for a, b, seed in probes]
+    return [digest(line[a:b].encode(), seed) for a, b, seed in own], [digest(line[a:b].encode(), seed) for a, b, seed in probes]
+
+
 @cache
 def _dealt(total: int, most: int, bins: int, low: int) -> list[tuple[int, ...]]:
     """All ways to write `total` as `bins` numbers from low to most each."""
@@ -202,6 +210,31 @@ def _line_hash(hh: bytes) -> int:
     return int.from_bytes(hh[:8], "little", signed=True) & -2
 
 
+KEY = pa.schema([("key", pa.int64()), ("h", pa.int64())])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, own segments first, those whose key has an own segment and two lines or more.
+
+    A key's rows may go on in the next batch. What is held back for that are its first line's rows, each once, and
+    one row of another line, so the memory doesn't grow with a key. Some rows may be given twice.
+    """
+    k, h = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        k, h = np.concatenate((k, batch.column(0).to_numpy())), np.concatenate((h, batch.column(1).to_numpy()))
+        if not len(k):
+            continue
+        begins = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        sizes = np.diff(np.append(begins, len(k)))
+        line, own = h & -2, (h & 1).astype(bool)
+        other = line != np.repeat(line[begins], sizes)
+        keep = np.repeat(np.logical_or.reduceat(other, begins) & own[begins], sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(line[keep]), pa.array(own[keep])], ["key", "h", "own"])
+        last = begins[-1]
+        held = np.concatenate((np.unique(h[last:][~other[last:]])[::-1], h[last:][other[last:]][:1]))
+        k, h = np.full(len(held), k[last]), held
+
+
 def shared_keys(texts: DataFrame, least: int, edits: int) -> DataFrame:
     """Rows (key, h, own) of the segment keys at which a line's own segment meets another line; h is a line's _line_hash().
 
@@ -210,24 +243,40 @@ def shared_keys(texts: DataFrame, least: int, edits: int) -> DataFrame:
     dealt: there are a thousand such keys at most, and their rows are all kept.
     """
 
-    def keys(hh: bytes, line: str) -> list[tuple]:
-        h = _line_hash(hh)
-        own, probes = segment_keys(line, edits)
-        return [(_signed(k), h | 1) for k in own] + [(_signed(k), h) for k in probes]
-
-    schema = pa.schema([("key", pa.int64()), ("h", pa.int64())])
-    rows = staged(texts.mapInArrow(_each_line(least, keys, schema), "key long, h long"), "keys")
+    def keys(batches):
+        for batch in batches:
+            seen: set[bytes] = set()
+            made: list[int] = []
+            of: list[int] = []
+            for text in _values(batch.column(0)):
+                for _, line in lines_of(text, least):
+                    hh = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+                    if hh in seen:
+                        continue
+                    seen.add(hh)
+                    h = _line_hash(hh)
+                    own, probes = segment_keys(line, edits)
+                    made += own
+                    made += probes
+                    of += [h | 1] * len(own)
+                    of += [h] * len(probes)
+                if len(made) > 40_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(made, np.uint64).view(np.int64)), pa.array(of, pa.int64())], schema=KEY)
+                    made, of = [], []
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(made, np.uint64).view(np.int64)), pa.array(of, pa.int64())], schema=KEY)
+
+    rows = staged(texts.mapInArrow(keys, "key long, h long"), "keys")
     line, is_own = F.col("h").bitwiseAND(F.lit(-2)), F.col("h").bitwiseAND(F.lit(1)) == 1
     sample = rows.filter(F.pmod(F.xxhash64(line), F.lit(64)) == 0)
     floor = max(1000, sample.count() // 1000)
     heavy = [r["key"] for r in sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= floor).collect()]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     usual = (rows.filter(~F.col("key").isin(heavy)) if heavy else rows).repartition(n, "key")
-    met = usual.groupBy("key").agg(F.min(line).alias("lo"), F.max(line).alias("hi"), F.max(is_own).alias("any")).filter("lo < hi and any").select("key")
-    found = usual.join(met.hint("shuffle_merge"), "key")
+    found = usual.sortWithinPartitions("key", is_own.desc(), "h").mapInArrow(_meeting, "key long, h long, own boolean")
     if heavy:
-        found = found.unionByName(rows.filter(F.col("key").isin(heavy)))
-    out = staged(found.select("key", line.alias("h"), is_own.alias("own")), "shared")
+        found = found.unionByName(rows.filter(F.col("key").isin(heavy)).select("key", line.alias("h"), is_own.alias("own")))
+    out = staged(found, "shared")
     discard(rows)
     return out
 

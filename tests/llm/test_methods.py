@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -688,3 +689,18 @@ def test_triples_counted_twice_count(spark):
     score = lambda **how: {r["doc_id"]: r["score"] for r in ngram.score_texts(df, F.col("doc_id") == 99, **how).collect()}[99]
     assert math.isclose(score(), score(least=(1, 2, 2)), rel_tol=1e-9)
     assert not math.isclose(score(), score(least=(1, 2, 8)), rel_tol=1e-3)
+
+
+def test_keys_that_meet_across_batches():
+    rng = random.Random(3)
+    rows = {(rng.randint(0, 60), rng.randint(0, 3) * 2 + rng.randint(0, 1)) for _ in range(150)}
+    rows = sorted(rows, key=lambda r: (r[0], -(r[1] & 1), r[1]))
+    by = {}
+    for k, h in rows:
+        by.setdefault(k, []).append(h)
+    want = {(k, h & -2, bool(h & 1)) for k, hs in by.items() for h in hs if any(x & 1 for x in hs) and len({x & -2 for x in hs}) > 1}
+    for size in (1, 2, 3, 7, 1000):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in p], pa.int64()), pa.array([h for _, h in p], pa.int64())], schema=lines.KEY) for p in parts]
+        got = {tuple(r.values()) for b in lines._meeting(iter(batches)) for r in b.to_pylist()}
+        assert got == want
