@@ -166,7 +166,8 @@ def oracle_sql() -> dict[str, str]:
       0.5 * (sum(a.expenditure * ln(b.price / a.price)) / sum(a.expenditure) + sum(b.expenditure * ln(b.price / a.price)) / sum(b.expenditure)) AS tq, count(*) AS n
       FROM panel a JOIN panel b ON a.item_id = b.item_id AND a.period < b.period WHERE a.price > 0 AND b.price > 0 GROUP BY 1, 2 HAVING count(*) >= 2)"""
     geks = """, both_ AS (SELECT s, t, {0} AS r FROM t UNION ALL SELECT t, s, -({0}) FROM t UNION ALL SELECT DISTINCT period, period, 0.0 FROM panel),
-      f AS (SELECT min(period) AS t0 FROM panel) SELECT b.t AS period, round(100 * exp(avg(b.r - z.r)), 6) AS "index" FROM both_ b JOIN both_ z ON b.s = z.s, f WHERE z.t = f.t0 GROUP BY 1"""
+      bridge AS (SELECT s FROM both_ GROUP BY s HAVING count(*) = (SELECT count(DISTINCT period) FROM panel)), f AS (SELECT min(period) AS t0 FROM panel)
+      SELECT b.t AS period, round(100 * exp(avg(b.r - z.r)), 6) AS "index" FROM both_ b JOIN bridge ON bridge.s = b.s JOIN both_ z ON b.s = z.s, f WHERE z.t = f.t0 GROUP BY 1"""
     out["ml_pairs"] = f"WITH {sql.DENSE}, {two} SELECT s, t, round(0.5 * ln(l * p), 6) AS log_ratio, n AS matched FROM t"
     out["ml_geks"] = f"WITH {sql.DENSE}, {two}" + geks.format("0.5 * ln(l * p)")
     out["ml_geks_tornqvist"] = f"WITH {sql.SPARSE}, {two}" + geks.format("tq")
