@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.operators.trees import aggregate_tree
+from basketry.sources.staging import staged
+
 
 def rates(series: DataFrame, per_year: int = 12) -> DataFrame:
     """series, period and percent changes: on the period and year before, three on three months, since the start."""
@@ -148,16 +151,8 @@ def change_frequency(panel: DataFrame, group: str = "category", price: str = "pr
 
 
 def tree_levels(panel: DataFrame, tree: DataFrame) -> DataFrame:
-    """code, period, index, weight of every node of a two-level tree over items' fixed-base relatives.
-
-    Every level divides by the whole weight below it, so a node is the sum of weight x index of its leaves over the
-    sum of their weights: one grouping of leaves by ancestor gives all levels at once.
-    """
-    base = panel.groupBy("item_id").agg(F.min_by("price", "period").alias("p0"), F.avg("expenditure").alias("w"))
-    up = tree.select(F.col("code").alias("leaf"), F.col("parent").alias("p1")).join(tree.select(F.col("code").alias("p1"), F.col("parent").alias("p2")), "p1", "left")
-    closure = up.select("leaf", F.explode(F.array_compact(F.array("leaf", "p1", "p2"))).alias("code"))
-    leaves = base.join(closure, base.item_id == closure.leaf)
-    whole = leaves.groupBy("code").agg(F.sum("w").alias("weight"))
-    now = panel.select("item_id", "period", "price").join(leaves.select("item_id", "code", "p0", "w"), "item_id")
-    sums = now.groupBy("code", "period").agg(F.sum(F.col("w") * 100 * F.col("price") / F.col("p0")).alias("s"))
-    return sums.join(whole, "code").select("code", "period", (F.col("s") / F.col("weight")).alias("index"), "weight")
+    """code, period, index, weight of every node of a tree (code, parent) of any depth over items' fixed-base relatives."""
+    base = panel.groupBy("item_id").agg(F.min_by("price", "period").alias("p0"), F.avg("expenditure").alias("weight"))
+    levels = staged(panel.select("item_id", "period", "price").join(base, "item_id").select(F.col("item_id").alias("code"), "period", (100 * F.col("price") / F.col("p0")).alias("index"), "weight"), "leaves")
+    weights = levels.groupBy("code").agg(F.max("weight").alias("weight"))
+    return aggregate_tree(levels.drop("weight"), weights, tree).select("code", "period", "index", "weight")

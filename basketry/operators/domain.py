@@ -278,27 +278,6 @@ def matched_relatives(panel: DataFrame, start: str, end: str) -> DataFrame:
     return r.filter("a is not null and b is not null").select("category", "item_id", F.ln(F.col("b") / F.col("a")).alias("log_relative"))
 
 
-def bootstrap_interval(relatives: DataFrame, cluster: str, replicates: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """estimate, lower, upper, replicates of 100 exp(mean log relative), clusters drawn with replacement.
-
-    Each cluster's count in each replicate is a Poisson number of a hash of (cluster, replicate, seed), so replicates
-    are the same however the data lie; sums by cluster are made first, so the fan-out is clusters x replicates.
-    """
-    sums = relatives.groupBy(cluster).agg(F.sum("log_relative").alias("s"), F.count("*").alias("n"))
-    fan = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.shiftrightunsigned(F.xxhash64(cluster, "replicate", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    cuts, p, total = [], float(np.exp(-1)), 0.0
-    for k in range(8):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    times = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    r = fan.withColumn("k", times).groupBy("replicate").agg((100 * F.exp(F.sum(F.col("k") * F.col("s")) / F.nullif(F.sum(F.col("k") * F.col("n")), F.lit(0)))).alias("v"))
-    q = r.agg(F.percentile("v", [(1 - level) / 2, (1 + level) / 2]).alias("q"), F.count("v").alias("replicates"))
-    e = sums.agg((100 * F.exp(F.sum("s") / F.sum("n"))).alias("estimate"))
-    return e.join(F.broadcast(q)).select("estimate", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "replicates")  # one row
-
-
 def suppress(table: DataFrame, group: str, value: str, count: str, least: int = 3) -> DataFrame:
     """Adds suppressed (primary, secondary or null) and published: small cells and, where a group has just one, its least other value."""
     t = table.withColumn("_p", F.col(count) < least)

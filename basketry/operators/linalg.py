@@ -63,3 +63,20 @@ def ordinary(moments: dict[tuple[str, str], float], names: list[str], target: st
     """Coefficients from sums of products."""
     xx = np.array([[moments[a, b] for b in names] for a in names])
     return np.linalg.pinv(xx) @ np.array([moments[a, target] for a in names])
+
+
+def dummy_residuals(cells: DataFrame, effects: DataFrame) -> DataFrame:
+    """t, n, residual: what is left of the normal equations of time effects (t, effect) in cells (t, i, y, w), items partialled out.
+
+    0 everywhere where the effects are least squares.
+    """
+    c = cells.join(effects, "t").withColumn("r", F.col("y") - F.col("effect"))
+    mean = c.groupBy("i").agg((F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("m"))
+    return c.join(mean, "i").groupBy("t").agg(F.count("*").alias("n"), F.abs(F.sum(F.col("w") * (F.col("r") - F.col("m")))).alias("residual"))
+
+
+def fixed_point_residuals(cells: DataFrame, levels: DataFrame) -> DataFrame:
+    """t, n, residual: how far levels (t, level) are from value over quantities at average prices, in cells (t, i, p, q); 0 at the fixed point."""
+    c = cells.join(levels, "t")
+    price = c.groupBy("i").agg((F.sum(F.col("p") * F.col("q") / F.col("level")) / F.sum("q")).alias("b"))
+    return c.join(price, "i").groupBy("t").agg(F.count("*").alias("n"), F.abs(F.max("level") * F.sum(F.col("b") * F.col("q")) / F.sum(F.col("p") * F.col("q")) - 1).alias("residual"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from basketry.plans import domain, governed, indices, models, screening, seasons
+from basketry.plans import domain, governed, indices, models, screening, seasons, structure, uncertainty
 
-MODULES = (indices, screening, domain, models, seasons, governed)
+MODULES = (indices, screening, domain, models, seasons, governed, structure, uncertainty)
 
 
 def queries() -> dict:

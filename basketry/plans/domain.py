@@ -83,7 +83,6 @@ def queries() -> dict:
         "dg_season": lambda s, d: rounded(domain.seasonal_amplitude(index.all_series(panels.dense_panel(s, d)))),
         "dg_churn": lambda s, d: rounded(domain.churn(panels.sparse_panel(s, d))),
         "un_relatives": lambda s, d: rounded(domain.matched_relatives(panels.dense_panel(s, d), "1995-01-01", "1998-01-01")),
-        "un_boot": lambda s, d: rounded(domain.bootstrap_interval(domain.matched_relatives(panels.dense_panel(s, d), "1995-01-01", "1998-01-01"), "item_id")),
         "dis_primary": lambda s, d: rounded(domain.suppress(_cells(s, d).select("category", "period", "n", "value"), "category", "value", "n", 130).filter("suppressed = 'primary'").drop("published")),
         "dis_secondary": lambda s, d: rounded(domain.suppress(_cells(s, d), "period", "value", "n", 100)),
         "rv_triangle": lambda s, d: rounded(domain.revision_triangle(_vintages(s, d))),
