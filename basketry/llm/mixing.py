@@ -53,8 +53,8 @@ def inclusion(rows: DataFrame) -> DataFrame:
     return sizes.withColumn("_c", c).filter((F.col("_c") >= 0) & (F.col("_c") * size < 1)).groupBy(*key).agg(F.max_by("_c", "_size").alias("_c"), F.max("_size").alias("_top"))
 
 
-def filled(order: DataFrame, plan: DataFrame, near: float) -> DataFrame:
-    """The stretches of each source's order that fill its rest: _null, _src, _steps, an array of (r, begin, end).
+def filled(order: DataFrame, plan: DataFrame, near: float, rounds: int) -> DataFrame:
+    """The stretches of each source's order that fill its rest: _null, _src, _steps, an array of (r, begin, end), `rounds` at most.
 
     A document is taken if its place is in one of the stretches (begin included, null for the first; end excluded, null
     for the last) and its size is r, what was missing at the stretch's begin, or less. order has _null, _src, _size,
@@ -65,12 +65,12 @@ def filled(order: DataFrame, plan: DataFrame, near: float) -> DataFrame:
     state = staged(plan.select(*key, "target", F.col("_rest").cast("double").alias("_r"), none.alias("_at"), F.lit(None).cast(f"array<struct<r:double,begin:{pos},end:{pos}>>").alias("_steps")), "state")
     run = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*key).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    while True:
+    for k in range(rounds + 1):
         asking = state.filter(F.col("_r") > near * F.col("target")).filter("_steps is null or _at is not null").select(*key, "_r", "_at")
         left = order.join(asking, key).filter("_size <= _r and (_at is null or _pos > _at)")
         bins = staged(left.groupBy(*key, "_bin", "_r").agg(F.sum("_size").alias("_words")).withColumn("_before", F.coalesce(F.sum("_words").over(run), F.lit(0))), "bins")
-        if bins.isEmpty():
-            return state.filter("_steps is not null").select(*key, "_steps")
+        if k == rounds or bins.isEmpty():
+            break
         cut = bins.filter("_before <= _r and _before + _words > _r").select(*key, F.col("_bin").alias("_cut"), "_before")
         at_cut = left.join(cut, key).filter("_bin = _cut").withColumn("_sum", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
         over = at_cut.filter("_sum + _size > _r").groupBy(*key).agg(F.min(F.struct("_pos", "_sum")).alias("_end"))
@@ -81,6 +81,21 @@ def filled(order: DataFrame, plan: DataFrame, near: float) -> DataFrame:
         old = state
         state = staged(state.join(step, key, "left").select(*key, "target", rest.alias("_r"), F.col("_end._pos").alias("_at"), steps.alias("_steps")), "state")
         discard(old, bins)
+    return state.filter("_steps is not null").select(*key, "_steps")
+
+
+def closing(rows: DataFrame, extra: DataFrame, plan: DataFrame, near: float) -> DataFrame:
+    """_row of one document a source that brings its words nearer to the target than they are without it.
+
+    rows has _null, _src, _size, _id and _row, extra the _row and _size that are taken already, plan _rest and target.
+    Where more than near of the target is missing, the document whose size is nearest to what is missing is taken if
+    that overshoots by less than is missing now; ties go to the random number of the id.
+    """
+    key = ["_null", "_src"]
+    words = extra.groupBy(*key).agg(F.sum("_size").alias("_words"))
+    open_ = plan.join(words, key, "left").withColumn("_r", F.col("_rest") - F.coalesce("_words", F.lit(0))).filter(F.col("_r") > near * F.col("target")).select(*key, "_r")
+    can = rows.join(open_, key).filter("_size > 0 and _size < 2 * _r").join(extra.select("_row"), "_row", "left_anti")
+    return can.groupBy(*key).agg(F.min_by("_row", F.struct(F.abs(F.col("_size") - F.col("_r")), F.xxhash64("_id"), "_row")).alias("_row")).select("_row")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), **options) -> DataFrame:
@@ -111,6 +126,7 @@ def mix_rows(
     cap: float = 3.0,
     seed: int = 2,
     near: float = 0.001,
+    rounds: int = 8,
     row_col: str | None = None,
 ) -> DataFrame:
     """How many words of each document a mix with the given source weights takes.
@@ -123,8 +139,11 @@ def mix_rows(
     first n = sum of lambda are the sample. As a sample of n documents seldom has just the words that are asked for,
     the end of the order settles it: if n documents have more than the rest the last ones are given back, and if they
     have fewer the order is followed further. Either way the first document that doesn't fit is passed over, and so
-    are later ones that don't fit into what is missing then, until less than `near` of the target is missing or
-    nothing fits. So a source takes its target at most, and misses `near` of it or less than its shortest document.
+    are later ones that don't fit into what is missing then, until less than `near` of the target is missing, nothing
+    fits or `rounds` documents that had fitted at a stretch's begin were passed over. Last, where more than `near` is
+    missing, the one document whose size is nearest to what is missing is taken if the source then ends nearer to its
+    target, from above if need be: a document longer than the rest can be that one. So a source misses its target by
+    `near` of it, or by less than half of the smallest document left, unless the rounds ran out.
 
     No source is sorted in one task: words are summed in fine bins of the rank's logarithm, the bin where the rest is
     filled is found from these sums, and only the documents of that bin are put in order. Each document passed over
@@ -152,9 +171,10 @@ def mix_rows(
     order = order.withColumn("_log", F.when(F.col("_c").isNull() | (F.col("_size") > F.col("_top")), F.lit(-1e6)).otherwise(odds))
     fine = 64.0 * max(1.0, (rows.count() / 5e7))
     order = staged(order.select(*key, "_row", "_size", F.floor(F.col("_log") * fine).cast("long").alias("_bin"), F.struct("_log", "_id", "_size", "_row").alias("_pos")), "order")
-    steps = filled(order, sources.select(*key, "_rest", "target"), near)
+    steps = filled(order, sources.select(*key, "_rest", "target"), near, rounds)
     extra = F.exists("_steps", lambda s: (F.col("_size") <= s["r"]) & (s["begin"].isNull() | (F.col("_pos") >= s["begin"])) & (s["end"].isNull() | (F.col("_pos") < s["end"])))
-    extra = staged(order.join(steps, key).filter(extra).select("_row"), "extra")
+    extra = staged(order.join(steps, key).filter(extra).select(*key, "_row", "_size"), "extra")
+    extra = extra.select("_row").unionByName(closing(rows, extra, sources.select(*key, "_rest", "target"), near))
     out = rows.join(sources.select(*key, "source_size", "target", "_whole"), key).join(extra.withColumn("_more", F.lit(1)), "_row", "left").withColumn("_extra", F.coalesce("_more", F.lit(0)))
     return out.select(
         "_row",
