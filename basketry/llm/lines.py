@@ -179,26 +179,19 @@ def _values(column: pa.Array, step: int = 256) -> Iterator:
         yield from column.slice(at, step).to_pylist()
 
 
-def _each_line(least: int, make, schema: pa.Schema):
-    """A task's function over texts: rows made of every line that is new in its batch."""
-
-    def run(batches):
-        for batch in batches:
-            seen: set[bytes] = set()
-            rows: list[tuple] = []
-            for text in _values(batch.column(0)):
-                for _, line in lines_of(text, least):
-                    hh = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-                    if hh not in seen:
-                        seen.add(hh)
-                        rows += make(hh, line)
-                if len(rows) > 40_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return run
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hh, line: the contents of lines at given places (l, hh) of the texts; an error if a place holds another line."""
+    for batch in batches:
+        out: list[tuple] = []
+        for places, text in zip(batch.column(0).to_pylist(), _values(batch.column(1)), strict=True):
+            its = text.split("\n")
+            for at in places:
+                line = its[at["l"]].strip()
+                if xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) != at["hh"]:
+                    raise ValueError("the texts are not those that the places were found in")
+                out.append((at["hh"], line))
+        hh, line = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hh, pa.binary()), pa.array(line, pa.string())], ["hh", "line"])
 
 
 def _signed(x: int) -> int:
@@ -207,7 +200,7 @@ def _signed(x: int) -> int:
 
 def _line_hash(hh: bytes) -> int:
     """64 bits of a line's hash, the last of them 0."""
-    return int.from_bytes(hh[:8], "little", signed=True) & -2
+    return int.from_bytes(hh[:8], "big", signed=True) & -2
 
 
 KEY = pa.schema([("key", pa.int64()), ("h", pa.int64())])
@@ -369,27 +362,23 @@ def later_lines(rows: DataFrame, lines: DataFrame, edits: int, hot: int) -> Data
         rows = narrowed
 
 
-def near_lines(texts: DataFrame, firsts: DataFrame, *, least: int, edits: int, hot: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
+def near_lines(rows: DataFrame, firsts: DataFrame, *, least: int, edits: int, hot: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
     """The 128-bit hashes (hh) of the lines within `edits` edits of an earlier, different one, staged.
 
-    texts has one column; firsts has hh and first, the place of a line that comes before all others like it, which
-    gives the order. Up to broadcast_rows wanted hashes (of 8 bytes) are looked up by a broadcast.
+    rows has _row and _text; firsts has hh and first, the place (row r, line l) of a line that comes before all others
+    like it, which gives the order. Only the first of equal lines is read again, at its place. Up to broadcast_rows
+    wanted hashes (of 8 bytes) and rows with wanted places are looked up by a broadcast.
     """
-    rows = shared_keys(texts, least, edits)
-    wanted = staged(rows.select("h").distinct(), "wanted")
-    sought = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-
-    def content(hh: bytes, line: str) -> list[tuple]:
-        return [(_line_hash(hh), hh, line)]
-
-    schema = pa.schema([("h", pa.int64()), ("hh", pa.binary()), ("line", pa.string())])
-    found = texts.mapInArrow(_each_line(least, content, schema), "h long, hh binary, line string").join(sought, "h", "left_semi").dropDuplicates(["hh"])
-    found = staged(found, "contents")
-    places = firsts.join(F.broadcast(found.select("hh")) if wanted.count() <= broadcast_rows else found.select("hh"), "hh", "left_semi")
-    order = ranked(places, [F.col("first")], "ord")
-    lines = staged(found.join(order.select("hh", "ord"), "hh"), "lines")
-    keyed = staged(rows.join(lines.select("h", "ord"), "h").select("key", "ord", "own"), "keyed")
-    discard(rows, wanted, found, order)
+    shared = shared_keys(rows.select("_text"), least, edits)
+    wanted = staged(shared.select("h").distinct(), "wanted")
+    few = wanted.count() <= broadcast_rows
+    known = firsts.withColumn("h", F.conv(F.hex(F.substring("hh", 1, 8)), 16, -10).cast("long").bitwiseAND(F.lit(-2)))  # _line_hash()
+    order = ranked(known.join(F.broadcast(wanted) if few else wanted, "h", "left_semi").select("h", "hh", "first"), [F.col("first")], "ord")
+    places = order.groupBy(F.col("first.r").alias("_row")).agg(F.collect_list(F.struct(F.col("first.l").alias("l"), "hh")).alias("places"))
+    found = rows.select("_row", "_text").join(F.broadcast(places) if few else places, "_row").select("places", "_text").mapInArrow(_contents, "hh binary, line string")
+    lines = staged(found.join(order.select("h", "hh", "ord"), "hh"), "lines")
+    keyed = staged(shared.join(lines.select("h", "ord"), "h").select("key", "ord", "own"), "keyed")
+    discard(shared, wanted, order)
     later = later_lines(keyed, lines.select("ord", "line"), edits, hot)
     out = staged(lines.join(later, "ord", "left_semi").select("hh"), "later")
     discard(keyed, lines, later)
@@ -421,7 +410,7 @@ def line_decisions(rows: DataFrame, *, least: int = 32, edits: int = 2, hot: int
     lines = staged(rows.select("_row", "_id", "_text").mapInArrow(run, f"_row long, _id {kind}, line int, n_lines long, hh binary"), "lines")
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("line").alias("l"))
     firsts = staged(lines.filter("hh is not null").groupBy("hh").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
-    later = near_lines(rows.select("_text"), firsts, least=least, edits=edits, hot=hot)
+    later = near_lines(rows.select("_row", "_text"), firsts, least=least, edits=edits, hot=hot)
     judged = firsts.join(later.withColumn("gone", F.lit(True)), "hh", "left").filter("gone or times > 1")
     judged = staged(judged.select("hh", "gone", F.col("first.r").alias("r"), F.col("first.l").alias("l")), "judged")
     discard(later, firsts)
