@@ -50,7 +50,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def fit_terms(row: np.ndarray, col: np.ndarray, n: int, k: int, y: np.ndarray, rank: int, rounds: int, l2: float, seed: int, l1: float = 0.5, l2_pairs: float = 0.02) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_terms(row: np.ndarray, col: np.ndarray, n: int, k: int, y: np.ndarray, rank: int, rounds: int, l2: float, seed: int, l1: float = 0.25, l2_pairs: float = 0.02) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, linear weights and factors of a factorization machine, from the places (row, col) of the ones, sorted by row.
 
     Proximal gradient steps with momentum on the mean log loss plus l2 / 2 |w|^2 + l2_pairs / 2 |v|^2 + l1 / n |w|:
@@ -117,6 +117,42 @@ def fit_machine(x: np.ndarray, y: np.ndarray, rank: int, rounds: int, l2: float,
     return fit_terms(row, col, *x.shape, y, rank, rounds, l2, seed)
 
 
+def raw_scores(bias: float, w: np.ndarray, v: np.ndarray, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
+    """The machine's log odds of n rows from the places (row, col) of their ones."""
+    z = bias + np.bincount(row, w[col], n)
+    for k in range(v.shape[1]):
+        f = v[col, k]
+        z += 0.5 * (np.bincount(row, f, n) ** 2 - np.bincount(row, f * f, n))
+    return z
+
+
+def out_of_fold(row: np.ndarray, col: np.ndarray, n: int, k: int, y: np.ndarray, fold: np.ndarray, fit) -> np.ndarray:
+    """Log odds of every row by a machine that fit() has made of the rows of the other folds."""
+    z = np.zeros(n)
+    for f in np.unique(fold):
+        other = fold != f
+        number, mine = np.cumsum(other) - 1, np.cumsum(~other) - 1
+        there = other[row]
+        bias, w, v = fit(number[row[there]], col[there], int(other.sum()), y[other])
+        seen = np.bincount(col[there], minlength=k) > 0
+        z[~other] = raw_scores(bias, w * seen, v * seen[:, None], mine[row[~there]], col[~there], int((~other).sum()))
+    return z
+
+
+def cut_at(z: np.ndarray, y: np.ndarray, weight: np.ndarray, precision: float) -> float:
+    """The log odds from which rows are called 1: of the cuts with that weighted precision the one with the fewest errors.
+
+    Where no cut is that precise it is the most precise one.
+    """
+    order = np.argsort(-z, kind="stable")
+    hit, called = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
+    last = np.append(np.diff(z[order]) < 0, True)  # equal scores fall on one side
+    good = np.flatnonzero(last & (hit >= precision * called))
+    at = good[np.argmin((called - 2 * hit)[good])] if len(good) else np.flatnonzero(last)[np.argmax((hit / called)[last])]
+    below = z[order][at + 1] if at + 1 < len(z) else z[order][at] - 1
+    return float((z[order][at] + below) / 2)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -130,14 +166,20 @@ def train(
     rounds: int = 200,
     l2: float = 1e-4,
     seed: int = 3,
+    folds: int = 4,
+    precision: float = 0.95,
 ) -> ToxicityModel:
-    """Fit the machine to labelled documents: at most about max_rows of them, half of either class, drawn by a hash of the id.
+    """Fit the machine to labelled documents: max_rows of them at most, half of either class, drawn by a hash of the id.
 
     Their terms are hashed in Spark tasks; the driver gets the distinct buckets of the sample only. Features are all
-    buckets of the sample, 2^bits at most. The bias is then set back to the share of label 1 among all labelled rows.
-    Null labels and ids are left out; with labels of one class or none the model is a constant.
+    buckets of the sample, 2^bits at most. Where a score becomes 0.5 is settled inside the sample: each of its `folds`
+    parts is scored by a machine fitted to the others, and the bias is set so that 0.5 is the cut with the fewest
+    errors in these scores among those with the precision asked for, classes weighing what they do among all labelled
+    rows. With fewer than 50 rows of a class the bias is set to the share of label 1 among all labelled rows instead.
+    Null labels and ids are left out; an id counts once, with its greatest label and one of its texts that depends on
+    them alone; with labels of one class or none the model is a constant.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
     share = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = share.get(0, 0), share.get(1, 0)
     none = ToxicityModel(bits, np.zeros(0, np.int64), float(np.log((n1 + 0.5) / (n0 + 0.5))), np.zeros(0), np.zeros((0, rank)))
@@ -145,7 +187,7 @@ def train(
         return none
     u = F.shiftrightunsigned(F.xxhash64("_id", F.lit(seed)), 11).cast("double") / float(1 << 53)
     part = F.when(F.col("_y") == 1, F.lit(max_rows / 2 / n1)).otherwise(max_rows / 2 / n0)
-    sample = known.filter(u < part).limit(max_rows + max_rows // 10)
+    sample = known.filter(u < part).withColumn("_u", u).orderBy("_u", "_id").limit(max_rows)
 
     def run(batches):
         for batch in batches:
@@ -154,10 +196,11 @@ def train(
             for a, b in in_chunks(texts):
                 bucket, offsets = term_buckets(texts[a:b], bits)
                 out += [np.unique(bucket[offsets[i] : offsets[i + 1]]).astype(np.uint32).tobytes() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["y", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["y", "terms", "u"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = sample.join(texts, "_id").select("_y", "_text").mapInArrow(run, "y int, terms binary").collect()
+    found = sample.join(texts, "_id").groupBy("_id", "_y", "_u").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
+    rows = sorted(found.select("_y", "_text", "_u").mapInArrow(run, "y int, terms binary, u double").collect(), key=lambda r: (r["u"], r["y"], bytes(r["terms"])))
     y = np.array([r["y"] for r in rows], float)
     if not len(rows) or y.min() == y.max():
         return none
@@ -165,8 +208,16 @@ def train(
     row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
     flat = np.concatenate(terms)
     features, col = np.unique(flat, return_inverse=True)
-    bias, w, v = fit_terms(row, col, len(rows), len(features), y, rank, rounds, l2, seed)
-    bias += np.log(n1 / n0) - np.log(y.mean() / (1 - y.mean()))
+
+    def fit(row, col, n, y):
+        return fit_terms(row, col, n, len(features), y, rank, rounds, l2, seed)
+
+    bias, w, v = fit(row, col, len(rows), y)
+    if min(y.sum(), len(y) - y.sum()) < 50:
+        bias += np.log(n1 / n0) - np.log(y.mean() / (1 - y.mean()))
+    else:
+        fold = np.arange(len(rows)) % folds  # rows stand in the order of a hash
+        bias -= cut_at(out_of_fold(row, col, len(rows), len(features), y, fold, fit), y, np.where(y == 1, n1 / y.sum(), n0 / (len(y) - y.sum())), precision)
     return ToxicityModel(bits, features.astype(np.int64), float(bias), w, v)
 
 
