@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -295,7 +296,7 @@ def _refined(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), KEYED, strict=True)], schema=KEYED)
 
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a line makes hundreds of keys, so few lines are spread too
+    n = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)  # a line makes hundreds of keys, so few lines are spread too
     found = rows.join(lines, "ord").select("ord", "line", "own", "short", "spec").repartition(n).mapInArrow(run, KEYED_SQL)
     return staged(found.distinct(), "refined")
 
@@ -320,43 +321,49 @@ def later_lines(rows: DataFrame, lines: DataFrame, edits: int, hot: int) -> Data
     def within(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([edit_distance(a, b, edits) <= edits for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    # What is left here is a small part of all lines: an eighth of the usual partitions, so that small tables are few files.
+    parts = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        return staged(df.coalesce(parts), tag)
+
+    def decide(pairs: DataFrame) -> None:
         first = lines.select(F.col("ord").alias("cand"), F.col("line").alias("first"))
-        return pairs.distinct().join(lines, "ord").join(first, "cand").filter(within("line", "first")).select("ord").distinct()
+        told.append(kept(pairs.distinct().join(lines, "ord").join(first, "cand").filter(within("line", "first")).select("ord"), "decided"))
 
-    def decide(pairs: DataFrame, before: DataFrame) -> DataFrame:
-        now = staged(before.unionByName(verified(pairs)).distinct(), "decided")
-        discard(before)
-        return now
+    def decided() -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, told)
 
-    decided = staged(lines.select("ord").limit(0), "decided")
+    told: list[DataFrame] = []
     rows = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("short", "int"), ("spec", "array<int>"), ("u", "long"), ("v", "long"))])
-    rows = staged(rows.distinct(), "level")
+    rows = kept(rows.distinct(), "level")
     while True:
         # Each of several free stretches has an edit: a key whose lines all agree in one has nothing that a narrower key lacks.
         differ = (F.coalesce(F.max(F.size("spec")), F.lit(0)) <= 4) | ((F.min("u") != F.max("u")) & (F.min("v") != F.max("v")))
         firsts = rows.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("ord"))).alias("i0"), F.min("ord").alias("r0"), F.count("*").alias("c"), differ.alias("differ"))
-        at = staged(rows.join(firsts.filter("i0 is not null and c > 1 and differ").drop("differ"), "key"), "at")
+        at = kept(rows.join(firsts.filter("i0 is not null and c > 1 and differ").drop("differ"), "key"), "at")
         star = at.filter("i0 < ord").select("ord", F.col("i0").alias("cand")).unionByName(at.filter("own and r0 < i0 and r0 < ord").select("ord", F.col("r0").alias("cand")))
-        decided = decide(star, decided)
+        decide(star)
         # Rows that an earlier line but those two may decide.
-        more = at.filter("c > 2 and ord > if(own, r0, i0)").join(decided, "ord", "left_anti")
+        more = at.filter("c > 2 and ord > if(own, r0, i0)").join(decided(), "ord", "left_anti")
         leaf = F.when(F.col("spec").isNull(), False).otherwise(F.forall(F.sequence(F.lit(0), (F.size("spec") / 4 - 1).cast("int")), lambda i: F.get("spec", i * 4 + 1) - F.get("spec", i * 4) <= 1))
-        sizes = staged(more.groupBy("key").agg((F.min(leaf) | (F.least(F.count("*"), F.first("c")) <= hot)).alias("direct")), "sizes")
+        sizes = kept(more.groupBy("key").agg((F.min(leaf) | (F.least(F.count("*"), F.first("c")) <= hot)).alias("direct")), "sizes")
         asking = more.join(sizes.filter("direct"), "key", "left_semi").select("key", "ord", "own", "i0", "r0")
         earlier = rows.select(F.col("key").alias("same"), F.col("ord").alias("cand"), F.col("own").alias("other"))
         direct = asking.join(earlier, (F.col("key") == F.col("same")) & (F.col("cand") < F.col("ord")) & (F.col("own") | F.col("other")) & (F.col("cand") != F.col("i0")) & ~(F.col("own") & (F.col("cand") == F.col("r0"))))
-        decided = decide(direct.select("ord", "cand"), decided)
+        decide(direct.select("ord", "cand"))
         full = sizes.filter("not direct")
         more_levels = not full.isEmpty()
         if more_levels:
             full = rows.join(full, "key", "left_semi")
             whole = full.filter("spec is null").select("ord", F.lit(True).alias("own"), "short", "spec").distinct()
-            wider, lines = lines, staged(lines.join(full.select("ord").distinct(), "ord", "left_semi"), "contents")  # later rounds move these only
+            wider, lines = lines, kept(lines.join(full.select("ord").distinct(), "ord", "left_semi"), "contents")  # later rounds move these only
             narrowed = _refined(lines, full.filter("spec is not null").select("ord", "own", "short", "spec").unionByName(whole), edits)
         discard(rows, at, sizes)
         if not more_levels:
-            return decided
+            out = kept(decided().distinct(), "near")
+            discard(*told)
+            return out
         if hasattr(wider, "_scratch"):
             discard(wider)
         rows = narrowed
@@ -377,11 +384,10 @@ def near_lines(rows: DataFrame, firsts: DataFrame, *, least: int, edits: int, ho
     places = order.groupBy(F.col("first.r").alias("_row")).agg(F.collect_list(F.struct(F.col("first.l").alias("l"), "hh")).alias("places"))
     found = rows.select("_row", "_text").join(F.broadcast(places) if few else places, "_row").select("places", "_text").mapInArrow(_contents, "hh binary, line string")
     lines = staged(found.join(order.select("h", "hh", "ord"), "hh"), "lines")
-    keyed = staged(shared.join(lines.select("h", "ord"), "h").select("key", "ord", "own"), "keyed")
-    discard(shared, wanted, order)
+    keyed = shared.join(lines.select("h", "ord"), "h").select("key", "ord", "own")
     later = later_lines(keyed, lines.select("ord", "line"), edits, hot)
     out = staged(lines.join(later, "ord", "left_semi").select("hh"), "later")
-    discard(keyed, lines, later)
+    discard(shared, wanted, order, lines, later)
     return out
 
 
