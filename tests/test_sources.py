@@ -43,7 +43,41 @@ def test_other_formats_are_refused(spark):
 
 def test_category_has_fewer_values(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 2.0), ("c", "y", 3.0)], "product_class string, item_group string, price double")
-    assert readers.mapping_of(df)["price"] == "price"
+    assert readers.mapping_of(df) == {"price": "price", "item_id": "product_class", "category": "item_group"}
+
+
+def test_columns_are_told_by_what_they_hold(spark):
+    rows = [(f"2020-{m:02d}-01", "AB"[i % 2], f"i{i}", str(10.0 + i + m / 100), str(float((i * 7 + m * 3) % 9 + 1))) for m in range(1, 7) for i in range(6)]
+    df = spark.createDataFrame([(*r[:3], str(float(r[3]) * float(r[4])), r[4], r[3], "kg") for r in rows], "when string, what string, `which one` string, spent string, `how many` string, cost string, unit string")
+    got = readers.suggested(df)
+    assert {f: c for f, (c, _) in got.items()} == {"unit": "unit", "period": "when", "category": "what", "item_id": "which one", "price": "cost", "quantity": "how many", "expenditure": "spent"}
+    assert got["unit"][1] == got["period"][1] == got["price"][1] == 1.0
+    named = readers.mapping_of(df.withColumnRenamed("cost", "Price"))
+    assert (named["price"], named["quantity"], named["expenditure"]) == ("Price", "how many", "spent")
+    assert readers.mapping_of(df.select("when", "cost")) == {"period": "when", "price": "cost"}
+    assert readers.mapping_of(df.select("when", "cost", "spent")) == {"period": "when"}  # two numbers and no product
+
+
+def test_files_without_a_header_keep_their_rows(spark, tmp_path):
+    path = write(tmp_path, "h.csv", b"2020-01-01,a,2\n2020-02-01,a,3\n2020-03-01,b,4\n")
+    assert readers.sniffed(spark, path)["header_row"] == -1
+    df = readers.read_table(spark, path)
+    assert df.columns == ["c1", "c2", "c3"] and df.count() == 3
+    assert readers.mapping_of(df) == {"period": "c1", "item_id": "c2", "price": "c3"}
+    assert not readers.headerless("2020,1\n2021,2\n", ",") and not readers.headerless("when,x\n2020-01-01,2\n", ",")
+
+
+def test_malformed_rows_are_told(spark, tmp_path):
+    path = write(tmp_path, "m.csv", b"period,item,price\n2020-01-01,a,2\n2020-02-01,a\n2020-03-01,a,3,4\n2020-04-01,b,5\n")
+    assert sorted(r["price"] for r in readers.read_table(spark, path).collect()) == ["2", "5"]
+    assert readers.read_table(spark, path).select("price").count() == 2
+    assert {r["line"] for r in readers.malformed_rows(spark, path).collect()} == {"2020-02-01,a", "2020-03-01,a,3,4"}
+
+
+def test_body_rows_that_repeat_the_preamble_stay(spark, tmp_path):
+    path = write(tmp_path, "p.csv", b"note,x\na,b,c\n1,2,3\na,b,c\n4,5,6\n")
+    df = readers.read_table(spark, path)
+    assert df.columns == ["a", "b", "c"] and sorted(r["a"] for r in df.collect()) == ["1", "4", "a"]
 
 
 def test_price_paid(spark, tmp_path):
