@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from basketry.plans import checks, domain, governed, indices, models, publishing, screening, seasons, structure, uncertainty
+from basketry.plans import checks, domain, governed, indices, models, publishing, reading, screening, seasons, structure, uncertainty
 
-MODULES = (indices, screening, domain, models, seasons, governed, structure, uncertainty, checks, publishing)
+MODULES = (indices, screening, domain, models, seasons, governed, structure, uncertainty, checks, publishing, reading)
 
 
 def queries() -> dict:

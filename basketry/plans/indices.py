@@ -11,28 +11,38 @@ from basketry.operators import decompose, index, multilateral
 from basketry.plans import sql
 from basketry.plans.rounding import rounded
 from basketry.sources import panels
+from basketry.sources.staging import staged
+
+
+def _dense(spark, d):
+    """The dense panel, written once: pairing reads it from several sides."""
+    return staged(panels.dense_panel(spark, d), "dense")
+
+
+def _sparse(spark, d):
+    return staged(panels.sparse_panel(spark, d), "sparse")
 
 
 def _links(name, spark, d):
-    df = index.links(panels.dense_panel(spark, d), name).filter("link is not null")
+    df = index.links(_dense(spark, d), name).filter("link is not null")
     return rounded(df.select("category", "period", F.col("link").alias("value"), F.col("matched").alias("n_items")))
 
 
 def _bilateral(name, spark, d):
-    return rounded(index.bilateral(panels.dense_panel(spark, d), name))
+    return rounded(index.bilateral(_dense(spark, d), name))
 
 
 def _index(spark, d, name="jevons"):
-    return index.chained_index(panels.dense_panel(spark, d), name)
+    return index.chained_index(_dense(spark, d), name)
 
 
 def _components(spark, d):
-    p = panels.dense_panel(spark, d)
+    p = _dense(spark, d)
     return index.chained_index(p).select(F.col("category").alias("component"), "period", "index"), index.category_weights(p).withColumnRenamed("category", "component")
 
 
 def _series(spark, d):
-    return index.all_series(panels.dense_panel(spark, d))
+    return index.all_series(_dense(spark, d))
 
 
 def _total(spark, d):
@@ -40,7 +50,7 @@ def _total(spark, d):
 
 
 def _tree_change(spark, d):
-    p = panels.dense_panel(spark, d)
+    p = _dense(spark, d)
     return rounded(decompose.tree_levels(p, panels.type_tree(spark, d)))
 
 
@@ -49,19 +59,19 @@ def queries() -> dict:
     out |= {f"bi_{n}": partial(_bilateral, n) for n in BILATERAL}
     out |= {
         "ix_build": lambda s, d: rounded(_index(s, d)),
-        "ix_build_fixed": lambda s, d: rounded(index.fixed_base_index(panels.dense_panel(s, d))),
-        "ix_build_sparse": lambda s, d: rounded(index.chained_index(panels.sparse_panel(s, d))),
+        "ix_build_fixed": lambda s, d: rounded(index.fixed_base_index(_dense(s, d))),
+        "ix_build_sparse": lambda s, d: rounded(index.chained_index(_sparse(s, d))),
         "ix_build_all": lambda s, d: rounded(_series(s, d)),
-        "ix_weights": lambda s, d: rounded(index.category_weights(panels.dense_panel(s, d)), 4),
-        "ix_weighted_all": lambda s, d: rounded(index.all_series(panels.dense_panel(s, d), weighted=True)),
+        "ix_weights": lambda s, d: rounded(index.category_weights(_dense(s, d)), 4),
+        "ix_weighted_all": lambda s, d: rounded(index.all_series(_dense(s, d), weighted=True)),
         "ix_yoy": lambda s, d: rounded(index.year_on_year(_series(s, d)).select("series", "period", "yoy")),
         "ix_annualised": lambda s, d: rounded(index.annualised(_series(s, d))),
         "ix_tornqvist": lambda s, d: rounded(_index(s, d, "tornqvist")),
         "sp_rebase": lambda s, d: rounded(index.rebase(_series(s, d), F.to_date(F.lit("1997-01-01")))),
-        "sp_splice": lambda s, d: rounded(index.splice(_series(s, d), index.all_series(panels.dense_panel(s, d), "tornqvist"), F.to_date(F.lit("1998-01-01")))),
-        "sp_drift_table": lambda s, d: rounded(index.chain_drift(panels.dense_panel(s, d))),
+        "sp_splice": lambda s, d: rounded(index.splice(_series(s, d), index.all_series(_dense(s, d), "tornqvist"), F.to_date(F.lit("1998-01-01")))),
+        "sp_drift_table": lambda s, d: rounded(index.chain_drift(_dense(s, d))),
         "ag_geo": lambda s, d: rounded(_total(s, d).select("period", "index")),
-        "ag_weighted": lambda s, d: rounded(index.weighted_all_items(_index(s, d), index.category_weights(panels.dense_panel(s, d)))),
+        "ag_weighted": lambda s, d: rounded(index.weighted_all_items(_index(s, d), index.category_weights(_dense(s, d)))),
         "ag_tree": _tree_change,
         "ag_contrib": lambda s, d: rounded(decompose.contributions(*_components(s, d), start="1996-01-01", end="1998-01-01")),
         "dc_rates": lambda s, d: rounded(decompose.rates(_series(s, d))),
@@ -73,14 +83,14 @@ def queries() -> dict:
         "dc_base": lambda s, d: rounded(decompose.base_effects(_total(s, d))),
         "dc_diffusion": lambda s, d: rounded(decompose.diffusion(*_components(s, d))),
         "dc_dispersion": lambda s, d: rounded(decompose.dispersion(*_components(s, d)), 5),
-        "dc_freq": lambda s, d: rounded(decompose.change_frequency(panels.dense_panel(s, d))),
-        "ml_pairs": lambda s, d: rounded(multilateral.log_pairs(panels.dense_panel(s, d))),
-        "ml_geks": lambda s, d: rounded(multilateral.geks(panels.dense_panel(s, d))),
-        "ml_geks_tornqvist": lambda s, d: rounded(multilateral.geks(panels.sparse_panel(s, d), "tornqvist")),
-        "ml_tpd": lambda s, d: rounded(multilateral.time_product_dummy(panels.sparse_panel(s, d))),
-        "ml_wtpd": lambda s, d: rounded(multilateral.time_product_dummy(panels.sparse_panel(s, d), weighted=True)),
-        "ml_gk": lambda s, d: rounded(multilateral.geary_khamis(panels.sparse_panel(s, d))),
-        "ml_extend": lambda s, d: rounded(multilateral.extend(panels.dense_panel(s, d), window=13, splice="mean")),
+        "dc_freq": lambda s, d: rounded(decompose.change_frequency(_dense(s, d))),
+        "ml_pairs": lambda s, d: rounded(multilateral.log_pairs(_dense(s, d))),
+        "ml_geks": lambda s, d: rounded(multilateral.geks(_dense(s, d))),
+        "ml_geks_tornqvist": lambda s, d: rounded(multilateral.geks(_sparse(s, d), "tornqvist")),
+        "ml_tpd": lambda s, d: rounded(multilateral.time_product_dummy(_sparse(s, d))),
+        "ml_wtpd": lambda s, d: rounded(multilateral.time_product_dummy(_sparse(s, d), weighted=True)),
+        "ml_gk": lambda s, d: rounded(multilateral.geary_khamis(_sparse(s, d))),
+        "ml_extend": lambda s, d: rounded(multilateral.extend(_dense(s, d), window=13, splice="mean")),
     }
     return out
 
