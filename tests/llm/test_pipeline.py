@@ -43,3 +43,25 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_edge_cases(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing names, and empty tables go through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, _row long"
+    clean = "the quick brown fox jumps over the lazy dog near the old river bank"
+    rows = [(1, clean, "en", "a", 1, "x", 1), (1, clean, "en", "a", 1, "x", 1), (2, "", "en", None, 0, "x", 1), (3, None, None, "b", None, None, None), (None, "some other words that stand alone here", None, "b", 1, "x", 1), (5, "lorem ipsum dolor " * 5000, "en", "c", 1, "x", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, 0, 0), (2, 1, 1), (None, 0, 1), (5, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a passage of the benchmark that nobody here has quoted at all"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {"line dedup": {2, 3, None, 1, 5}, "n-gram Jaccard join": {2, 3, None, 1, 5}, "benchmark decontamination": {2, 3, None, 1, 5}}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        ids = [r["doc_id"] for r in out.collect()]
+        if name in kept:
+            assert set(ids) == kept[name] and out.columns == docs.columns, name
+            assert ids.count(1) == (2 if name == "benchmark decontamination" else 1)
+        if name == "toxicity":
+            assert len(ids) <= len(rows) and ids.count(1) in (0, 2) and out.columns == docs.columns
+        if name == "mixing sources":
+            assert set(ids) <= {1, None, 5} and [c for c in docs.columns if c != "size"] == out.columns[:-4]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
