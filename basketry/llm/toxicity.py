@@ -204,20 +204,21 @@ def train(
     y = np.array([r["y"] for r in rows], float)
     if not len(rows) or y.min() == y.max():
         return none
-    terms = [np.frombuffer(r["terms"], np.uint32) for r in rows]
-    row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    flat = np.concatenate(terms)
-    features, col = np.unique(flat, return_inverse=True)
+    terms, n = [np.frombuffer(r["terms"], np.uint32) for r in rows], len(rows)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
+    features, col = np.unique(np.concatenate(terms), return_inverse=True)
+    col = col.astype(np.int32)
+    del rows, terms  # the fits need the driver's memory
 
     def fit(row, col, n, y):
         return fit_terms(row, col, n, len(features), y, rank, rounds, l2, seed)
 
-    bias, w, v = fit(row, col, len(rows), y)
+    bias, w, v = fit(row, col, n, y)
     if min(y.sum(), len(y) - y.sum()) < 50:
         bias += np.log(n1 / n0) - np.log(y.mean() / (1 - y.mean()))
     else:
-        fold = np.arange(len(rows)) % folds  # rows stand in the order of a hash
-        bias -= cut_at(out_of_fold(row, col, len(rows), len(features), y, fold, fit), y, np.where(y == 1, n1 / y.sum(), n0 / (len(y) - y.sum())), precision)
+        fold = np.arange(n) % folds  # rows stand in the order of a hash
+        bias -= cut_at(out_of_fold(row, col, n, len(features), y, fold, fit), y, np.where(y == 1, n1 / y.sum(), n0 / (len(y) - y.sum())), precision)
     return ToxicityModel(bits, features.astype(np.int64), float(bias), w, v)
 
 
