@@ -10,21 +10,26 @@ from basketry.operators.linalg import fixed_point_levels, two_way_dummies
 
 
 
-def unit_value_panel(panel: DataFrame) -> DataFrame:
-    """period, item_id, price, quantity, expenditure: one row for each, positive prices and quantities from 0."""
-    p = panel.filter("price > 0 and quantity >= 0").groupBy("period", "item_id").agg(F.sum("expenditure").alias("expenditure"), F.sum("quantity").alias("quantity"))
+def unit_value_panel(panel: DataFrame, *by: str) -> DataFrame:
+    """by, period, item_id, price, quantity, expenditure: one row for each, positive prices and quantities from 0."""
+    p = panel.filter("price > 0 and quantity >= 0").groupBy(*by, "period", "item_id").agg(F.sum("expenditure").alias("expenditure"), F.sum("quantity").alias("quantity"))
     return p.filter("quantity > 0").withColumn("price", F.col("expenditure") / F.col("quantity"))
 
 
-def log_pairs(panel: DataFrame, block: str = "fisher", least: int = 2, windows: DataFrame | None = None) -> DataFrame:
-    """s, t, log_ratio, matched (and window) for all periods s < t with `least` items in common.
+def _key(windows: DataFrame | None, by: str | None) -> list[str]:
+    return ["window"] if windows is not None else [by] if by else []
 
-    A self-join on the item, grouped at once. windows (window, period), if given, keeps to pairs inside a window.
+
+def log_pairs(panel: DataFrame, block: str = "fisher", least: int = 2, windows: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """s, t, log_ratio, matched (and window, or by) for all periods s < t with `least` items in common.
+
+    A self-join on the item, grouped at once. windows (window, period), if given, keeps to pairs inside a window; by
+    names a column whose values are compared each on their own.
     """
-    p = unit_value_panel(panel)
+    p = unit_value_panel(panel, *([by] if by else []))
     if windows is not None:
         p = p.join(F.broadcast(windows), "period")  # windows x periods rows
-    keys = ["item_id"] if windows is None else ["window", "item_id"]
+    keys = [*_key(windows, by), "item_id"]
     a = p.select(*keys, F.col("period").alias("s"), F.col("price").alias("p0"), F.col("quantity").alias("q0"), F.col("expenditure").alias("e0"))
     b = p.select(*keys, F.col("period").alias("t"), F.col("price").alias("pt"), F.col("quantity").alias("qt"), F.col("expenditure").alias("et"))
     ratio = F.ln(F.col("pt") / F.col("p0"))
@@ -36,19 +41,20 @@ def log_pairs(panel: DataFrame, block: str = "fisher", least: int = 2, windows:
     return out.filter(F.col("matched") >= least)
 
 
-def geks(panel: DataFrame, block: str = "fisher", base_value: float = 100.0, windows: DataFrame | None = None) -> DataFrame:
-    """period, index (and window): the geometric mean over all bridges of the two-period indices through them.
+def geks(panel: DataFrame, block: str = "fisher", base_value: float = 100.0, windows: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """period, index (and window, or by): the geometric mean over all bridges of the two-period indices through them.
 
-    A bridge is a period that compares with every other one.
+    A bridge is a period that compares with every other one; without one there are no rows. With by, each value of that
+    column has an index of its own.
     """
-    key = [] if windows is None else ["window"]
-    one = log_pairs(panel, block, windows=windows)
-    periods = panel.select("period").distinct() if windows is None else windows
+    key = _key(windows, by)
+    one = log_pairs(panel, block, windows=windows, by=by)
+    periods = panel.select(*key, "period").distinct() if windows is None else windows
     both = one.select(*key, "s", "t", "log_ratio").unionByName(one.select(*key, F.col("t").alias("s"), F.col("s").alias("t"), (-F.col("log_ratio")).alias("log_ratio")))
     both = both.unionByName(periods.select(*key, F.col("period").alias("s"), F.col("period").alias("t"), F.lit(0.0).alias("log_ratio")))
     ends = periods.groupBy(*key).agg(F.min("period").alias("t0"), F.count("*").alias("periods"))
     full = both.groupBy(*key, "s").agg(F.count("*").alias("n"))
-    full = (full.join(F.broadcast(ends), key) if key else full.join(F.broadcast(ends))).filter("n = periods").select(*key, "s", "t0")  # one row a window
+    full = (full.join(ends if by else F.broadcast(ends), key) if key else full.join(F.broadcast(ends))).filter("n = periods").select(*key, "s", "t0")  # one row a window
     bridged = both.join(full, [*key, "s"])
     first = bridged.filter("t = t0").select(*key, "s", F.col("log_ratio").alias("first"))
     out = bridged.join(first, [*key, "s"]).groupBy(*key, "t").agg((base_value * F.exp(F.avg(F.col("log_ratio") - F.col("first")))).alias("index"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from basketry.plans import checks, domain, governed, indices, models, publishing, reading, real_terms, screening, seasons, structure, uncertainty
+from basketry.plans import checks, comparison, domain, governed, indices, models, publishing, reading, real_terms, screening, seasons, structure, uncertainty
 
-MODULES = (indices, screening, domain, models, seasons, governed, structure, uncertainty, checks, publishing, reading, real_terms)
+MODULES = (indices, screening, domain, models, seasons, governed, structure, uncertainty, checks, publishing, reading, real_terms, comparison)
 
 
 def queries() -> dict:
