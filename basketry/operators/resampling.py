@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from basketry.sources.staging import numbered, staged
 
 #: Between the parts of a draw's key.
 SEP = "\x1f"
+#: Slots that are numbered from one row.
+BLOCK = 4096
 
 
 class UncertaintyError(ValueError):
@@ -48,17 +53,39 @@ def clusters(relatives: DataFrame, design: Design | None) -> DataFrame:
     return staged(sums.join(ranks, ["stratum", "cluster"]), "clusters")
 
 
+def _dealt(held: DataFrame, replicates: int, seed: int, fewer: int) -> DataFrame:
+    """stratum, replicate, rank of every single draw.
+
+    A stratum's slots of a replicate are cut into blocks that are dealt over all tasks before they are numbered, as
+    strata are few; the number of tasks is given, or the few blocks' rows would be put together again.
+    """
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = held.groupBy("stratum").agg((F.max("rank") + 1).alias("size")).filter(F.col("size") > fewer)
+    runs = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    blocks = runs.withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size") - fewer, F.lit(BLOCK).cast("long"))))
+    dealt = blocks.repartition(tasks, "stratum", "replicate", "first").select("stratum", "replicate", "first", (F.col("size") - fewer).alias("last"), "size")
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                n = min(BLOCK, r["last"] - r["first"] + 1)
+                head = SEP.join([*([] if r["stratum"] is None else [r["stratum"]]), str(r["replicate"]), ""]).encode()
+                tail = f"{SEP}{seed}".encode()
+                digests = b"".join([hashlib.md5(b"%b%d%b" % (head, k, tail), usedforsecurity=False).digest() for k in range(r["first"], r["first"] + n)])
+                u = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(12)) / float(1 << 52)  # as uniform()
+                rank = np.floor(u * r["size"]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([r["stratum"]] * n, pa.string()), pa.array(np.full(n, r["replicate"], np.int32)), pa.array(rank)], ["stratum", "replicate", "rank"])
+
+    return dealt.mapInArrow(run, "stratum string, replicate int, rank long")
+
+
 def draws(held: DataFrame, replicates: int, seed: int, fewer: int) -> DataFrame:
     """stratum, replicate, rank, times: how often each cluster is drawn, n - fewer draws with replacement from n a stratum.
 
     Every draw is a slot (stratum, replicate, number) that a hash deals to a rank, so the times of a stratum add up to
     its draws exactly and do not depend on how the data lie.
     """
-    sizes = held.groupBy("stratum").agg((F.max("rank") + 1).alias("size"))
-    slots = sizes.filter(F.col("size") > fewer).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    slots = slots.withColumn("slot", F.explode(F.sequence(F.lit(1), (F.col("size") - fewer).cast("int"))))
-    rank = F.floor(uniform(F.col("stratum"), F.col("replicate"), F.col("slot"), F.lit(seed)) * F.col("size")).cast("long")
-    return slots.groupBy("stratum", "replicate", rank.alias("rank")).agg(F.count("*").alias("times"))
+    return _dealt(held, replicates, seed, fewer).groupBy("stratum", "replicate", "rank").agg(F.count("*").alias("times"))
 
 
 def _headline(means: DataFrame, key: list[str], weights: DataFrame | None) -> DataFrame:
@@ -73,8 +100,10 @@ def _headline(means: DataFrame, key: list[str], weights: DataFrame | None) -> Da
 
 def replicate_changes(held: DataFrame, replicates: int, seed: int, fewer: int, weights: DataFrame | None = None) -> DataFrame:
     """replicate, change: the headline of each replicate; a category that none of its clusters reached is left out of it."""
-    drawn = draws(held, replicates, seed, fewer)
-    means = drawn.join(held, ["stratum", "rank"]).groupBy("replicate", "category").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
+    # Single draws meet their cluster's sums: one shuffle by (stratum, rank), no count of each (replicate, rank) held. The
+    # sums are neither sent to all executors through the driver nor sorted against the draws.
+    drawn = _dealt(held, replicates, seed, fewer).join(held.select("stratum", "rank", "category", "s", "n").hint("shuffle_hash"), ["stratum", "rank"])
+    means = drawn.groupBy("replicate", "category").agg((F.sum("s") / F.sum("n")).alias("mean"))
     return _headline(means, ["replicate"], weights)
 
 

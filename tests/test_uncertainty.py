@@ -158,3 +158,14 @@ def test_vintages_equal_fits_on_known_sales(spark):
 def test_no_pairs(spark):
     with pytest.raises(vintages.PropertyError):
         vintages.repeat_sales_vintages(spark.createDataFrame([("h", DAY(2020, 1, 1), 1.0)], "property_id string, period date, price double"))
+
+
+def test_draws_are_dealt_over_tasks_and_follow_their_hash(spark):
+    """One stratum of many clusters is drawn in more than one task, each slot by the hash that uniform() names."""
+    held = spark.range(9000).select(F.lit("all").alias("stratum"), F.col("id").alias("rank"), F.lit("c").alias("category"), F.lit(1.0).alias("s"), F.lit(1).cast("long").alias("n"))
+    dealt = resampling._dealt(held, 3, 5, 1)
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3 * 8999 and len(sizes) > 1
+    slots = spark.range(1, 9000).select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("replicate"), F.col("id").alias("slot"))
+    want = slots.select("replicate", F.floor(resampling.uniform(F.lit("all"), F.col("replicate"), F.col("slot"), F.lit(5)) * 9000).alias("rank"))
+    assert sorted(map(tuple, dealt.select("replicate", "rank").collect())) == sorted(map(tuple, want.collect()))
