@@ -70,13 +70,14 @@ def parent_map_for(tree: DataFrame, categories: DataFrame) -> DataFrame | None:
 def weight_problems(weights: DataFrame, tree: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """parent, children, total, weight, difference of nodes whose weight is not the sum of their children's.
 
-    weights has code and weight. Nodes without a weight, or with a child without one, are no inconsistency.
+    weights has code and weight. Nodes without a weight, or with a child without one, are no inconsistency. Weights
+    that are decimals are compared exactly; sums of doubles may differ by their rounding.
     """
     edges = tree.filter("parent is not null").select("code", "parent").distinct()
     kids = edges.join(weights.select("code", F.col("weight").alias("w")), "code", "left")
     sums = kids.groupBy("parent").agg(F.count("*").alias("children"), F.count("w").alias("known"), F.sum("w").alias("total")).filter("children = known")
     j = sums.join(weights.select(F.col("code").alias("parent"), "weight"), "parent").filter("weight is not null")
-    return j.withColumn("difference", F.col("total") - F.col("weight")).filter(F.abs("difference") > tolerance).select("parent", "children", "total", "weight", "difference")
+    return j.withColumn("difference", F.col("total") - F.col("weight")).filter(F.abs("difference") > tolerance).select("parent", "children", *[F.col(c).cast("double").alias(c) for c in ("total", "weight", "difference")])
 
 
 def aggregate_tree(levels: DataFrame, weights: DataFrame, tree: DataFrame) -> DataFrame:

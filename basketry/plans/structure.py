@@ -30,12 +30,15 @@ def _registered(s, d):
 
 
 def _place_weights(s, d):
-    """code, weight: customers' orders; segments and regions the same, nations without orders of status P if odd."""
-    o = panels.table(s, d, "orders").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("code"), "o_totalprice", "o_orderstatus")
+    """code, weight: customers' orders; segments and regions the same, nations without orders of status P if odd.
+
+    Weights are added up as decimals: sums of doubles over a whole region are off by more than the tolerance.
+    """
+    o = panels.table(s, d, "orders").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("code"), F.col("o_totalprice").cast("decimal(28,8)").alias("o_totalprice"), "o_orderstatus")
     up = trees.closure(panels.place_tree(s, d))
     j = o.join(up, "code").withColumn("n", F.regexp_extract("ancestor", "^N([0-9]+)$", 1))
     odd = (F.col("n") != "") & (F.expr("try_cast(n as int)") % 2 == 1) & (F.col("o_orderstatus") == "P")
-    return j.groupBy(F.col("ancestor").alias("code")).agg(F.sum(F.when(~odd, F.col("o_totalprice")).otherwise(0.0)).alias("weight"))
+    return j.groupBy(F.col("ancestor").alias("code")).agg(F.sum(F.when(~odd, F.col("o_totalprice")).otherwise(F.lit(0).cast("decimal(28,8)"))).alias("weight"))
 
 
 def _places(s, d):
