@@ -42,6 +42,7 @@ def overlaps(prices: DataFrame) -> DataFrame:
 
 def thin_pairs(prices: DataFrame, least: int = 5) -> DataFrame:
     """region_a < region_b and matched for pairs of regions that share fewer than `least` products, none included."""
+    prices = staged(prices.select("region", "product", "price"), "prices")
     regions = prices.filter("price is not null and product is not null").select("region").filter("region is not null").distinct()
     every = regions.agg(F.collect_set("region").alias("all"))
     pairs = regions.join(F.broadcast(every)).select(F.col("region").alias("region_a"), F.explode("all").alias("region_b")).filter("region_a < region_b")  # one row of regions
@@ -55,6 +56,7 @@ def withholding(prices: DataFrame, base: str, least: int = 5) -> DataFrame:
     A parity is published if a chain of shared products reaches the region from the base and it shares `least` products
     with one other region; the base always is.
     """
+    prices = staged(prices.select("region", "product", "price"), "prices")
     regions = prices.filter("region is not null and product is not null and price is not null").select("region").distinct()
     best = overlaps(prices).groupBy("region").agg(F.max("matched").alias("shared"))
     reached = reached_regions(prices, base).withColumn("reached", F.lit(True))
@@ -70,6 +72,7 @@ def parities(prices: DataFrame, base: str, method: str = "cpd", least: int = 5)
     thin one has an estimate that is not published. Raises on prices that are not positive, on a region that prices a
     product twice, and if no other region is reached.
     """
+    prices = staged(prices, "prices")
     if not prices.filter("price <= 0").isEmpty():
         raise SpatialError("prices must be positive")
     if not prices.groupBy("region", "product").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
