@@ -6,9 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.sources.staging import staged
+
 
 @dataclass
 class Fit:
@@ -30,12 +33,14 @@ class Fit:
 def design(df: DataFrame, continuous: Sequence[str], categorical: Sequence[str] = (), time: str | None = "period", log: bool = True) -> tuple[DataFrame, list[str], str | None]:
     """Rows (y, x array) of complete cases: constant, (logged) characteristics, drop-first dummies, period dummies.
 
-    Levels of the categorical columns are collected; they are few by nature. Returns the rows, the names, the base period.
+    Levels of the categorical columns are collected; they are few by nature. The complete cases are written once, as
+    levels, periods and sums all read them. Returns the rows, the names, the base period.
     """
     need = ["price", *continuous, *categorical, *([time] if time else [])]
     d = df.dropna(subset=need).filter("price > 0")
     for c in continuous if log else ():
         d = d.filter(F.col(c) > 0)
+    d = staged(d, "design")
     cols: list[tuple[str, Column]] = [("const", F.lit(1.0))]
     cols += [(c, F.ln(c) if log else F.col(c).cast("double")) for c in continuous]
     for c in categorical:
@@ -51,21 +56,38 @@ def design(df: DataFrame, continuous: Sequence[str], categorical: Sequence[str]
 
 
 def moments(rows: DataFrame, k: int, by: str | None = None, scale: Column | None = None) -> dict:
-    """x'x, x'y, y'y, sum y and n, whole or by a key: entries are made for the non-zero x only and added up in Spark."""
-    nz = F.filter(F.transform("x", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: e["v"] != 0)
-    w = F.lit(1.0) if scale is None else scale
-    r = rows.select(*([F.col(by).alias("key")] if by else [F.lit(0).alias("key")]), nz.alias("nz"), "y", w.alias("w"))
-    pairs = r.select("key", "w", "y", F.explode("nz").alias("a"), "nz")
-    xy = pairs.groupBy("key", F.col("a.i").alias("i")).agg(F.sum(F.col("w") * F.col("a.v") * F.col("y")).alias("v")).collect()
-    xx = pairs.select("key", "w", "a", F.explode("nz").alias("b")).filter("a.i <= b.i").groupBy("key", F.col("a.i").alias("i"), F.col("b.i").alias("j"))
-    xx = xx.agg(F.sum(F.col("w") * F.col("a.v") * F.col("b.v")).alias("v")).collect()
-    whole = r.groupBy("key").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") ** 2).alias("yy")).collect()
-    out = {s["key"]: {"xx": np.zeros((k, k)), "xy": np.zeros(k), "n": s["n"], "y": s["y"], "yy": s["yy"]} for s in whole}
-    for e in xy:
-        out[e["key"]]["xy"][e["i"]] = e["v"]
-    for e in xx:
-        out[e["key"]]["xx"][e["i"], e["j"]] = out[e["key"]]["xx"][e["j"], e["i"]] = e["v"]
-    return out
+    """x'x, x'y, y'y, sum y and n, whole or by a key, in one pass: tasks add up the products of their rows, Spark those of the tasks.
+
+    x'x and x'y are weighed by scale.
+    """
+    key = F.lit(0) if by is None else F.col(by)
+    r = rows.select(key.alias("key"), F.col("y").cast("double").alias("y"), (F.lit(1.0) if scale is None else scale).alias("w"), "x")
+    kind = r.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        sums: dict = {}
+        key_type = None
+        for batch in batches:
+            code = batch.column(0).dictionary_encode(null_encoding="encode")
+            key_type = code.dictionary.type
+            at = code.indices.to_numpy(zero_copy_only=False)
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(y), k)
+            for i, name in enumerate(code.dictionary.to_pylist()):
+                mine = at == i
+                held = sums.setdefault(name, np.zeros(k * k + k + 3))
+                z, v, u = x[mine], y[mine], w[mine]
+                held[: k * k] += (z.T @ (z * u[:, None])).ravel()
+                held[k * k : k * k + k] += z.T @ (u * v)
+                held[k * k + k :] += len(v), v.sum(), (v * v).sum()
+        for name, held in sums.items():
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), key_type), pa.array(at.astype(np.int32)), pa.array(held[at])], ["key", "at", "v"])
+
+    out: dict = {}
+    for e in r.mapInArrow(run, f"key {kind}, at int, v double").groupBy("key", "at").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(e["key"], np.zeros(k * k + k + 3))[e["at"]] = e["v"]
+    return {key: {"xx": s[: k * k].reshape(k, k), "xy": s[k * k : k * k + k], "n": int(s[-3]), "y": float(s[-2]), "yy": float(s[-1])} for key, s in out.items()}
 
 
 def fit(df: DataFrame, continuous: Sequence[str], categorical: Sequence[str] = (), time: str | None = "period", log: bool = True) -> tuple[Fit, str | None]:
