@@ -19,10 +19,10 @@ NAMES = {"period": "a", "category": "b", "item_id": "c", "expenditure": "d", "qu
 
 
 def _written(lines: DataFrame) -> str:
-    """The path of one text file with the lines (at, line) in their order."""
-    folder = f"{shared_folder(lines.sparkSession)}/text-{uuid.uuid4().hex}"
-    lines.repartition(1).sortWithinPartitions("at").select("line").write.text(folder)
-    return lines.sparkSession.read.text(folder).inputFiles()[0]
+    """The folder of text files that hold the lines (at, line) in their order, one after the other by name."""
+    folder = f"{shared_folder(lines.sparkSession)}/text-{uuid.uuid4().hex}.csv"
+    lines.repartitionByRange("at").sortWithinPartitions("at").select("line").write.text(folder)
+    return folder
 
 
 def _customers(s, d):
