@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.formulas import BILATERAL
 from basketry.operators.linalg import fixed_point_levels, two_way_dummies
+from basketry.sources.staging import staged
 
 # --- trade ---
 
@@ -59,9 +60,12 @@ def _parities(prices: DataFrame, base: str, regions: list, levels: np.ndarray) -
 
 def country_product_dummy(prices: DataFrame, base: str, weighted: bool = False) -> DataFrame:
     """region, parity: regression of log prices on region and product dummies; weights are expenditure shares."""
-    whole = prices.groupBy("region").agg(F.sum("expenditure").alias("whole"))
-    w = F.col("expenditure") / F.col("whole") if weighted else F.lit(1.0)
-    cells = prices.filter("price > 0").join(whole, "region").select(F.col("region").alias("t"), F.col("product").alias("i"), F.ln("price").alias("y"), w.alias("w"))
+    w = F.lit(1.0)
+    if weighted:
+        prices = staged(prices, "prices")
+        prices = prices.join(F.broadcast(prices.groupBy("region").agg(F.sum("expenditure").alias("whole"))), "region")  # one row a region
+        w = F.col("expenditure") / F.col("whole")
+    cells = prices.filter("price > 0 and region is not null").select(F.col("region").alias("t"), F.col("product").alias("i"), F.ln("price").alias("y"), w.alias("w"))
     regions, effects = two_way_dummies(cells)
     return _parities(prices, base, regions, np.exp(effects))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.linalg import fixed_point_levels, two_way_dummies
-
+from basketry.sources.staging import staged
 
 
 def unit_value_panel(panel: DataFrame, *by: str) -> DataFrame:
@@ -61,13 +61,24 @@ def geks(panel: DataFrame, block: str = "fisher", base_value: float = 100.0, win
     return out.withColumnRenamed("t", "period")
 
 
+def product_cells(panel: DataFrame, weighted: bool = False) -> DataFrame:
+    """t, i, y, w: log unit values by period and item, weighed by their shares of the period's expenditure or equally."""
+    p = unit_value_panel(panel.filter("period is not null and item_id is not null"))
+    if weighted:
+        p = staged(p, "unit values")
+        p = p.join(F.broadcast(p.groupBy("period").agg(F.sum("expenditure").alias("whole"))), "period")  # one row a period
+    return p.select(F.col("period").alias("t"), F.col("item_id").alias("i"), F.ln("price").alias("y"), (F.col("expenditure") / F.col("whole") if weighted else F.lit(1.0)).alias("w"))
+
+
+def dummy_levels(cells: DataFrame, base_value: float = 100.0) -> DataFrame:
+    """period, index from product_cells()."""
+    times, effects = two_way_dummies(cells)
+    return cells.sparkSession.createDataFrame([(t, float(base_value * np.exp(e))) for t, e in zip(times, effects, strict=True)], "period date, index double")
+
+
 def time_product_dummy(panel: DataFrame, weighted: bool = False, base_value: float = 100.0) -> DataFrame:
     """period, index from a regression of log prices on period and product dummies; weights are expenditure shares."""
-    p = unit_value_panel(panel)
-    whole = p.groupBy("period").agg(F.sum("expenditure").alias("whole"))
-    cells = p.join(whole, "period").select(F.col("period").alias("t"), F.col("item_id").alias("i"), F.ln("price").alias("y"), (F.col("expenditure") / F.col("whole") if weighted else F.lit(1.0)).alias("w"))
-    times, effects = two_way_dummies(cells)
-    return panel.sparkSession.createDataFrame([(t, float(base_value * np.exp(e))) for t, e in zip(times, effects, strict=True)], "period date, index double")
+    return dummy_levels(product_cells(panel, weighted), base_value)
 
 
 def geary_khamis(panel: DataFrame, base_value: float = 100.0) -> DataFrame:

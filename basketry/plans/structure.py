@@ -106,10 +106,8 @@ def _reproduced(s, d):
 
 
 def _tpd_check(weighted, s, d):
-    p = multilateral.unit_value_panel(panels.sparse_panel(s, d))
-    whole = p.groupBy("period").agg(F.sum("expenditure").alias("whole"))
-    cells = staged(p.join(whole, "period").select(F.col("period").alias("t"), F.col("item_id").alias("i"), F.ln("price").alias("y"), (F.col("expenditure") / F.col("whole") if weighted else F.lit(1.0)).alias("w")), "cells")
-    found = multilateral.time_product_dummy(panels.sparse_panel(s, d), weighted=weighted)
+    cells = staged(multilateral.product_cells(panels.sparse_panel(s, d), weighted), "cells")
+    found = multilateral.dummy_levels(cells)
     return rounded(linalg.dummy_residuals(cells, found.select(F.col("period").alias("t"), F.ln("index").alias("effect"))).withColumnRenamed("t", "period"))
 
 
@@ -122,8 +120,9 @@ def _cpd_check(weighted, s, d):
 
 
 def _gk_check(s, d):
-    cells = staged(multilateral.unit_value_panel(panels.sparse_panel(s, d)).select(F.col("period").alias("t"), F.col("item_id").alias("i"), F.col("price").alias("p"), F.col("quantity").alias("q")), "cells")
-    found = multilateral.geary_khamis(panels.sparse_panel(s, d))
+    units = staged(multilateral.unit_value_panel(panels.sparse_panel(s, d)), "units")
+    cells = units.select(F.col("period").alias("t"), F.col("item_id").alias("i"), F.col("price").alias("p"), F.col("quantity").alias("q"))
+    found = multilateral.geary_khamis(units)
     return rounded(linalg.fixed_point_residuals(cells, found.select(F.col("period").alias("t"), F.col("index").alias("level"))).withColumnRenamed("t", "period"))
 
 

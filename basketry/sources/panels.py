@@ -39,7 +39,8 @@ def dense_panel(spark: SparkSession, folder: str) -> DataFrame:
 def sparse_panel(spark: SparkSession, folder: str) -> DataFrame:
     """As dense_panel, each part an item: most items are unsold in most months."""
     lines = _sales_lines(spark, folder)
-    return _unit_values(lines, month("l_shipdate").alias("period"), F.col("p_type").alias("category"), F.col("l_partkey").cast("string").alias("item_id"))
+    cells = _unit_values(lines, month("l_shipdate").alias("period"), F.col("p_type").alias("category"), F.col("l_partkey"))  # dealt by part already, by the join
+    return cells.select("period", "category", F.col("l_partkey").cast("string").alias("item_id"), "expenditure", "quantity", "price")
 
 
 def faulty_panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +64,8 @@ def regional_prices(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    buyers = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "n_name")
+    joined = lines.join(buyers, lines.l_orderkey == buyers.o_orderkey)
     return _unit_values(joined, F.col("n_name").alias("region"), F.concat_ws("|", "p_brand", "p_type").alias("product"))
 
 
