@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators import index, multilateral
+from basketry.sources.staging import staged
 
 
 def matched_share(panel: DataFrame, by: str = "category") -> DataFrame:
     """by, items, always, share: the share of expenditure in items that are sold in every period of their group."""
-    p = multilateral.unit_value_panel(panel, by)
+    p = staged(multilateral.unit_value_panel(panel, by), "units")
     items = p.groupBy(by, "item_id").agg(F.count("*").alias("n"), F.sum("expenditure").alias("e"))
+    alike = items.groupBy(by, "n").agg(F.count("*").alias("items"), F.sum("e").alias("e"))  # before the join: groups are few and large
     whole = p.groupBy(by).agg(F.count_distinct("period").alias("periods"))
     every = F.col("n") == F.col("periods")
-    out = items.join(whole, by).groupBy(by).agg(F.count("*").alias("items"), F.count(F.when(every, 1)).alias("always"), F.coalesce(F.sum(F.when(every, F.col("e"))), F.lit(0.0)).alias("a"), F.sum("e").alias("e"))
+    out = alike.join(whole, by).groupBy(by).agg(F.sum("items").alias("items"), F.coalesce(F.sum(F.when(every, F.col("items"))), F.lit(0)).alias("always"), F.coalesce(F.sum(F.when(every, F.col("e"))), F.lit(0.0)).alias("a"), F.sum("e").alias("e"))
     return out.select(by, "items", "always", F.when(F.col("e") > 0, F.col("a") / F.col("e")).alias("share"))
 
 
