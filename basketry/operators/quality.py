@@ -138,7 +138,7 @@ def _movements(panel: DataFrame, price: str, cell: str, all_periods: bool) -> Da
     by_cell = Window.partitionBy(cell).orderBy("period")
     periods = periods.withColumn("before", F.lag("period").over(by_cell))
     priced = rows.filter(F.col(price) > 0)
-    now = priced.select(cell, "period", "item_id", F.col(price).alias("pt")).join(periods, [cell, "period"])
+    now = priced.select(cell, "period", "item_id", F.col(price).alias("pt")).join(F.broadcast(periods), [cell, "period"])  # a row a period and cell
     then = priced.select(cell, F.col("period").alias("before"), "item_id", F.col(price).alias("p0"))
     change = now.join(then, [cell, "before", "item_id"]).groupBy(cell, "period").agg(F.avg(F.ln(F.col("pt") / F.col("p0"))).alias("f"))
     grid = periods.join(change, [cell, "period"], "left")
@@ -155,7 +155,7 @@ def impute_by_movement(panel: DataFrame, method: str = "class_mean", price: str
     """
     p = panel.withColumn("_cell", F.lit("all") if method == "overall_mean" else F.col("category"))
     moves = _movements(p, price, "_cell", method == "class_mean")
-    p = p.join(moves, ["_cell", "period"], "left")
+    p = p.join(F.broadcast(moves), ["_cell", "period"], "left")  # a row a period and cell
     seen = by_item().rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col(price).isNotNull(), F.struct(F.col(price).alias("p"), "total", "gaps")), ignorenulls=True).over(seen)
     p = p.withColumn("_last", last)

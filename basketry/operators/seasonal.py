@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.sources.staging import staged
+
 
 def chained_aggregate(components: DataFrame, weights: DataFrame, base_value: float = 100.0) -> DataFrame:
     """period, index: links are weighted means of the components' relatives; weights has component, period, weight.
@@ -43,9 +45,10 @@ def counter_seasonal(panel: DataFrame, group: str = "category") -> DataFrame:
     """
     from basketry.operators.quality import impute_by_movement
 
+    panel = staged(panel, "panel")
     spans = panel.filter("price > 0").groupBy(group, "item_id").agg(F.min("period").alias("a"), F.max("period").alias("b"))
-    grid = spans.join(panel.select(group, "period").distinct(), group).filter("period between a and b").select(group, "item_id", "period")
-    full = grid.join(panel, [group, "item_id", "period"], "left").withColumn("price_clean", F.when(F.col("price") > 0, F.col("price")))
+    grid = spans.join(F.broadcast(panel.select(group, "period").distinct()), group).filter("period between a and b")  # a row a period and group.select(group, "item_id", "period")
+    full = staged(grid.join(panel, [group, "item_id", "period"], "left").withColumn("price_clean", F.when(F.col("price") > 0, F.col("price"))), "full")
     filled = impute_by_movement(full, "targeted_mean")
     return filled.withColumn("imputation", F.when(F.col("imputation").isNotNull(), "counter_seasonal"))
 
