@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm.store import discard, staged
 from basketry.llm.words import as_bytes, hashed_words, in_chunks
 
 #: ASCII punctuation counts as a space, so that a word at a sentence's end is the same term.
@@ -50,6 +51,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
 def fit_terms(row: np.ndarray, col: np.ndarray, n: int, k: int, y: np.ndarray, rank: int, rounds: int, l2: float, seed: int, l1: float = 0.25, l2_pairs: float = 0.02) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, linear weights and factors of a factorization machine, from the places (row, col) of the ones, sorted by row.
 
@@ -63,10 +69,10 @@ def fit_terms(row: np.ndarray, col: np.ndarray, n: int, k: int, y: np.ndarray, r
     row, col = row.astype(np.int32), col.astype(np.int32)
     by = np.argsort(col, kind="stable")
     row_by_col = row[by]
-    col_at = np.flatnonzero(np.diff(col[by], prepend=-1))
+    col_at = _begins(col[by])
     cols = col[by[col_at]]
     del by
-    row_at = np.flatnonzero(np.diff(row, prepend=-1))
+    row_at = _begins(row)
     rows = row[row_at]
 
     def over(values: np.ndarray, place: np.ndarray, at: np.ndarray, which: np.ndarray, size: int) -> np.ndarray:
@@ -126,17 +132,13 @@ def raw_scores(bias: float, w: np.ndarray, v: np.ndarray, row: np.ndarray, col:
     return z
 
 
-def out_of_fold(row: np.ndarray, col: np.ndarray, n: int, k: int, y: np.ndarray, fold: np.ndarray, fit) -> np.ndarray:
-    """Log odds of every row by a machine that fit() has made of the rows of the other folds."""
-    z = np.zeros(n)
-    for f in np.unique(fold):
-        other = fold != f
-        number, mine = np.cumsum(other) - 1, np.cumsum(~other) - 1
-        there = other[row]
-        bias, w, v = fit(number[row[there]], col[there], int(other.sum()), y[other])
-        seen = np.bincount(col[there], minlength=k) > 0
-        z[~other] = raw_scores(bias, w * seen, v * seen[:, None], mine[row[~there]], col[~there], int((~other).sum()))
-    return z
+def fold_odds(row: np.ndarray, col: np.ndarray, n: int, k: int, y: np.ndarray, mine: np.ndarray, fit) -> np.ndarray:
+    """Log odds of the rows that are mine by a machine that fit() has made of the others."""
+    number, at = np.cumsum(~mine, dtype=np.int32) - 1, np.cumsum(mine, dtype=np.int32) - 1
+    there = ~mine[row]
+    bias, w, v = fit(number[row[there]], col[there], int((~mine).sum()), y[~mine])
+    seen = np.bincount(col[there], minlength=k) > 0
+    return raw_scores(bias, w * seen, v * seen[:, None], at[row[~there]], col[~there], int(mine.sum()))
 
 
 def cut_at(z: np.ndarray, y: np.ndarray, weight: np.ndarray, precision: float) -> float:
@@ -153,6 +155,45 @@ def cut_at(z: np.ndarray, y: np.ndarray, weight: np.ndarray, precision: float) -
     return float((z[order][at] + below) / 2)
 
 
+FITTED = pa.schema([("part", pa.int32()), ("bias", pa.float64()), ("y", pa.binary()), ("features", pa.binary()), ("w", pa.binary()), ("v", pa.binary()), ("z", pa.binary())])
+FITTED_SQL = "part int, bias double, y binary, features binary, w binary, v binary, z binary"
+
+
+def _fits(bits: int, folds: int, fit):
+    """For each part of rows (part, y, terms, u), sorted by part, u, y and terms: the fit of all rows (part -1), or its fold's log odds."""
+
+    def one(part: int, y: list[int], terms: list[bytes]) -> tuple:
+        y, n = np.array(y, float), len(y)
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(t) // 4 for t in terms])
+        flat = np.frombuffer(b"".join(terms), np.uint32)
+        terms.clear()
+        there = np.zeros(1 << bits, bool)
+        there[flat] = True
+        features, col = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[flat]
+        del flat
+        machine = lambda row, col, n, y: fit(row, col, n, len(features), y)
+        if part >= 0:
+            z = fold_odds(row, col, n, len(features), y, np.arange(n) % folds == part, machine)  # rows stand in the order of a hash
+            return part, None, None, None, None, None, z.tobytes()
+        bias, w, v = machine(row, col, n, y)
+        return part, bias, y.tobytes(), features.astype(np.int64).tobytes(), w.tobytes(), v.tobytes(), None
+
+    def run(batches):
+        now, y, terms = None, [], []
+        for batch in batches:
+            for part, label, its in zip(*(batch.column(c).to_pylist() for c in ("part", "y", "terms")), strict=True):
+                if part != now and terms:
+                    yield pa.RecordBatch.from_pylist([dict(zip(FITTED.names, one(now, y, terms), strict=True))], schema=FITTED)
+                    y, terms = [], []
+                now = part
+                y.append(label)
+                terms.append(its)
+        if terms:
+            yield pa.RecordBatch.from_pylist([dict(zip(FITTED.names, one(now, y, terms), strict=True))], schema=FITTED)
+
+    return run
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -171,8 +212,8 @@ def train(
 ) -> ToxicityModel:
     """Fit the machine to labelled documents: max_rows of them at most, half of either class, drawn by a hash of the id.
 
-    Their terms are hashed in Spark tasks; the driver gets the distinct buckets of the sample only. Features are all
-    buckets of the sample, 2^bits at most. Where a score becomes 0.5 is settled inside the sample: each of its `folds`
+    Their terms are hashed in Spark tasks, and the machine is fitted in tasks too, one for the whole sample and one for
+    each fold; the driver gets weights and log odds only. Features are all buckets of the sample, 2^bits at most. Where a score becomes 0.5 is settled inside the sample: each of its `folds`
     parts is scored by a machine fitted to the others, and the bias is set so that 0.5 is the cut with the fewest
     errors in these scores among those with the precision asked for, classes weighing what they do among all labelled
     rows. With fewer than 50 rows of a class the bias is set to the share of label 1 among all labelled rows instead.
@@ -200,26 +241,30 @@ def train(
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = sample.join(texts, "_id").groupBy("_id", "_y", "_u").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))
-    rows = sorted(found.select("_y", "_text", "_u").mapInArrow(run, "y int, terms binary, u double").collect(), key=lambda r: (r["u"], r["y"], bytes(r["terms"])))
-    y = np.array([r["y"] for r in rows], float)
-    if not len(rows) or y.min() == y.max():
+    rows = staged(found.select("_y", "_text", "_u").mapInArrow(run, "y int, terms binary, u double"), "sample")
+    count = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(count) < 2:
+        discard(rows)
         return none
-    terms, n = [np.frombuffer(r["terms"], np.uint32) for r in rows], len(rows)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
-    features, col = np.unique(np.concatenate(terms), return_inverse=True)
-    col = col.astype(np.int32)
-    del rows, terms  # the fits need the driver's memory
-
-    def fit(row, col, n, y):
-        return fit_terms(row, col, n, len(features), y, rank, rounds, l2, seed)
 
-    bias, w, v = fit(row, col, n, y)
-    if min(y.sum(), len(y) - y.sum()) < 50:
+    def fit(row, col, n, k, y):
+        return fit_terms(row, col, n, k, y, rank, rounds, l2, seed)
+
+    parts = [-1, *range(folds if min(count.values()) >= 50 else 0)]
+    dealt = rows.withColumn("part", F.explode(F.array(*map(F.lit, parts)))).repartitionByRange(len(parts), "part").sortWithinPartitions("part", "u", "y", "terms")
+    fits = {r["part"]: r for r in dealt.mapInArrow(_fits(bits, folds, fit), FITTED_SQL).collect()}
+    discard(rows)
+    whole = fits[-1]
+    y, features, w = (np.frombuffer(whole[c], t) for c, t in (("y", float), ("features", np.int64), ("w", np.float32)))
+    v, bias = np.frombuffer(whole["v"], np.float32).reshape(len(features), rank), whole["bias"]
+    if len(parts) == 1:
         bias += np.log(n1 / n0) - np.log(y.mean() / (1 - y.mean()))
     else:
-        fold = np.arange(n) % folds  # rows stand in the order of a hash
-        bias -= cut_at(out_of_fold(row, col, n, len(features), y, fold, fit), y, np.where(y == 1, n1 / y.sum(), n0 / (len(y) - y.sum())), precision)
-    return ToxicityModel(bits, features.astype(np.int64), float(bias), w, v)
+        z = np.zeros(len(y))
+        for f in range(folds):
+            z[f::folds] = np.frombuffer(fits[f]["z"])
+        bias -= cut_at(z, y, np.where(y == 1, n1 / y.sum(), n0 / (len(y) - y.sum())), precision)
+    return ToxicityModel(bits, features, float(bias), w, v)
 
 
 def toxicity(model: ToxicityModel, text: Column) -> Column:
