@@ -229,13 +229,67 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, h = np.full(len(held), k[last]), held
 
 
+def _packed(keys: list[int] | np.ndarray, of: list[int] | np.ndarray, parts: int) -> pa.RecordBatch:
+    """part, rows: the keys and their lines' hashes by range of keys, each range as the bytes of its keys and then of the hashes."""
+    k, h = np.asarray(keys, np.uint64), np.asarray(of, np.int64)
+    order = np.argsort(k)
+    k, h = k[order], h[order]
+    part = ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    begins = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(begins[1:], len(k))
+    return pa.RecordBatch.from_arrays([pa.array(part[begins], pa.int32()), pa.array([k[a:b].tobytes() + h[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())], schema=PACKED)
+
+
+def _unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and hashes of some packed rows."""
+    k = np.frombuffer(b"".join(x[: len(x) // 2] for x in rows), np.uint64)
+    return k, np.frombuffer(b"".join(x[len(x) // 2 :] for x in rows), np.int64)
+
+
+PACKED = pa.schema([("part", pa.int32()), ("rows", pa.binary())])
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, h: of packed rows sorted by part, those whose key stands twice or more, sorted by key, own segments first."""
+
+    def sorted_part(held: list[bytes]) -> pa.RecordBatch:
+        k, h = _unpacked(held)
+        order = np.argsort(k)
+        k = k[order]
+        same = k[1:] == k[:-1]
+        twice = np.append(same, False) | np.append(False, same)
+        k, h = k[twice], h[order[twice]]
+        order = np.lexsort((h, ~h & 1, k))
+        return pa.RecordBatch.from_arrays([pa.array(k[order].view(np.int64)), pa.array(h[order])], schema=KEY)
+
+    now, held = None, []
+    for batch in batches:
+        for part, rows in zip(batch.column(0).to_pylist(), _values(batch.column(1)), strict=True):
+            if part != now and held:
+                yield sorted_part(held)
+                held = []
+            now = part
+            held.append(rows)
+    if held:
+        yield sorted_part(held)
+
+
 def shared_keys(texts: DataFrame, least: int, edits: int) -> DataFrame:
     """Rows (key, h, own) of the segment keys at which a line's own segment meets another line; h is a line's _line_hash().
 
-    The rows that are moved hold key and h alone: own is the last bit of h on the way, which a hash leaves free.
-    All rows are dealt by key once. A key of which a sample of lines (one in 64) holds a thousandth or more is not
-    dealt: there are a thousand such keys at most, and their rows are all kept.
+    What is moved is key and h alone, 16 bytes, packed by range of keys: own is the last bit of h on the way, which a
+    hash leaves free. All keys are dealt by range once, and a task sorts one range of 1,024 or more at a time. A key of
+    which a sample of lines (one in 64) holds a thousandth or more is not dealt: there are a thousand such keys at
+    most, and their rows are all kept.
     """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1024, n)
+
+    def packed(made: list[int], of: list[int]) -> Iterator[pa.RecordBatch]:
+        yield _packed(made, of, parts)
+        chosen = (np.array(of, np.int64) >> 8) & 63 == 0  # the sample, as part -1
+        if chosen.any():
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array(made, np.uint64)[chosen].tobytes()], pa.binary())], schema=PACKED)
 
     def keys(batches):
         for batch in batches:
@@ -254,24 +308,46 @@ def shared_keys(texts: DataFrame, least: int, edits: int) -> DataFrame:
                     made += probes
                     of += [h | 1] * len(own)
                     of += [h] * len(probes)
-                if len(made) > 40_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(made, np.uint64).view(np.int64)), pa.array(of, pa.int64())], schema=KEY)
+                if len(made) > 200_000:
+                    yield from packed(made, of)
                     made, of = [], []
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(made, np.uint64).view(np.int64)), pa.array(of, pa.int64())], schema=KEY)
-
-    rows = staged(texts.mapInArrow(keys, "key long, h long"), "keys")
-    line, is_own = F.col("h").bitwiseAND(F.lit(-2)), F.col("h").bitwiseAND(F.lit(1)) == 1
-    sample = rows.filter(F.pmod(F.xxhash64(line), F.lit(64)) == 0)
-    floor = max(1000, sample.count() // 1000)
-    heavy = [r["key"] for r in sample.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= floor).collect()]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    usual = (rows.filter(~F.col("key").isin(heavy)) if heavy else rows).repartition(n, "key")
-    found = usual.sortWithinPartitions("key", is_own.desc(), "h").mapInArrow(_meeting, "key long, h long, own boolean")
-    if heavy:
-        found = found.unionByName(rows.filter(F.col("key").isin(heavy)).select("key", line.alias("h"), is_own.alias("own")))
+                yield from packed(made, of)
+
+    def sampled(batches):
+        for batch in batches:
+            for rows in _values(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rows, np.int64))], ["key"])
+
+    rows = staged(texts.mapInArrow(keys, "part int, rows binary"), "keys")
+    dealt = rows.filter("part >= 0")
+    counts = staged(rows.filter("part < 0").mapInArrow(sampled, "key long").groupBy("key").agg(F.count("*").alias("n")), "counts")
+    floor = max(1000, (counts.agg(F.sum("n")).first()[0] or 0) // 1000)
+    heavy = np.array([r["key"] for r in counts.filter(F.col("n") >= floor).collect()], np.int64).view(np.uint64)
+
+    def usual(batches):
+        for batch in batches:
+            for held in _values(batch.column(1)):
+                k, h = _unpacked([held])
+                keep = ~np.isin(k, heavy)
+                if keep.any():
+                    yield _packed(k[keep], h[keep], parts)
+
+    def kept_whole(batches):
+        for batch in batches:
+            for held in _values(batch.column(1)):
+                k, h = _unpacked([held])
+                keep = np.isin(k, heavy)
+                if keep.any():
+                    k, h = k[keep].view(np.int64), h[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h & -2), pa.array((h & 1).astype(bool))], ["key", "h", "own"])
+
+    met = (dealt.mapInArrow(usual, "part int, rows binary") if len(heavy) else dealt).repartition(n, "part").sortWithinPartitions("part")
+    found = met.mapInArrow(lambda batches: _meeting(_in_order(batches)), "key long, h long, own boolean")
+    if len(heavy):
+        found = found.unionByName(dealt.mapInArrow(kept_whole, "key long, h long, own boolean"))
     out = staged(found, "shared")
-    discard(rows)
+    discard(rows, counts)
     return out
 
 

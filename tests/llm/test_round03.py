@@ -3,7 +3,10 @@
 import os
 import time
 
-from basketry.llm import toxicity
+import xxhash
+from pyspark.sql import functions as F
+
+from basketry.llm import lines, toxicity
 
 
 def test_fits_run_in_tasks(spark, tmp_path, monkeypatch):
@@ -21,3 +24,23 @@ def test_fits_run_in_tasks(spark, tmp_path, monkeypatch):
     assert len(pids) == 5 and str(os.getpid()) not in pids
     bad, good = model.scores([b"word1 bad", b"word1"])
     assert bad > 0.5 > good
+
+
+def test_keys_are_moved_packed(spark, monkeypatch):
+    """Keys and hashes take 16 bytes each on the way and are dealt by range, whatever the number of lines; none is lost."""
+    moved = []
+    put = lines.staged
+    monkeypatch.setattr(lines, "staged", lambda df, tag: (lambda out: moved.append(out.agg(F.count("*"), F.sum(F.length("rows"))).first()) or out)(put(df, tag)) if tag == "keys" else put(df, tag))
+    texts = [f"line {i // 2} of a table of many rows, written {'once' if i % 2 else 'onze'} at {i // 2 * 7919}" for i in range(3000)]
+    rows = spark.createDataFrame([("\n".join(texts[i::10]),) for i in range(10)], "_text string")
+    found = {tuple(r) for r in lines.shared_keys(rows, 32, 2).collect()}
+    by = {}
+    for line in texts:
+        h = lines._line_hash(xxhash.xxh3_128_digest(line.encode()))
+        for own, keys in zip((True, False), lines.segment_keys(line, 2), strict=True):
+            for k in keys:
+                by.setdefault(lines._signed(k), set()).add((h, own))
+    want = {(k, h, own) for k, held in by.items() if any(own for _, own in held) and len({h for h, _ in held}) > 1 for h, own in held}
+    n = sum(len(held) for held in by.values())
+    assert found == want
+    assert moved[0][0] < n / 4 and 16 * n <= moved[0][1] < 17 * n
