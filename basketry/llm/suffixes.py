@@ -78,16 +78,8 @@ def anchors(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
 def common(x: bytes, y: bytes) -> int:
     """The length of the longest common prefix."""
     n = min(len(x), len(y))
-    if x[:n] == y[:n]:
-        return n
-    lo, hi = 0, n
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if x[:mid] == y[:mid]:
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
+    differ = int.from_bytes(x[:n]) ^ int.from_bytes(y[:n])
+    return n - (differ.bit_length() + 7) // 8
 
 
 def intervals(rights: list[bytes]) -> Iterator[tuple[int, int, int]]:
@@ -108,24 +100,36 @@ def bucket_covers(contexts: list[tuple[bytes, bytes, tuple]], length: int) -> di
 
     For every interval of suffixes that share l bytes to the right, each member is set against the earlier ones: the
     longest left extension it shares with one of them. If left and right make up `length`, the bytes from -left to l
-    around its anchor repeat. Neighbours alone would miss this: any earlier member of the interval counts. All covers
-    of a member hold the anchor, so together they are one run of bytes. Intervals come longest first, so a member
-    whose whole left context is covered gains nothing from a wider interval.
+    around its anchor repeat. Neighbours alone would miss this: any earlier member of the interval counts. Only members
+    that share the `length` - l bytes to their left can make it up, so the others are not compared. All covers of a
+    member hold the anchor, so together they are one run of bytes. Intervals come longest first, so a member whose
+    whole left context is covered gains nothing from a wider interval.
     """
+    if len(contexts) == 2:
+        (x, p, first), (y, q, second) = contexts
+        left, right = common(p, q), common(x, y)
+        return {int(first < second): (-left, right)} if left + right >= length else {}
     covers: dict[int, tuple[int, int]] = {}
     for right, first, last in intervals([c[0] for c in contexts]):
-        members = sorted(range(first, last + 1), key=lambda i: contexts[i][2])
-        if all(i in covers and -covers[i][0] == len(contexts[i][1]) for i in members[1:]):
-            continue
-        seen: list[bytes] = []
-        for i in members:
-            left = contexts[i][1]
-            at = bisect_left(seen, left)
-            best = max((common(left, x) for x in seen[max(0, at - 1) : at + 1]), default=-1)
-            if best >= 0 and best + right >= length:
+        least = max(0, length - right)
+        groups: dict[bytes, list[int]] = {}
+        for i in range(first, last + 1):
+            if len(left := contexts[i][1]) >= least:
+                groups.setdefault(left[:least], []).append(i)
+        for members in groups.values():
+            if len(members) < 2:
+                continue
+            members.sort(key=lambda i: contexts[i][2])
+            if all(i in covers and -covers[i][0] == len(contexts[i][1]) for i in members[1:]):
+                continue
+            seen: list[bytes] = [contexts[members[0]][1]]
+            for i in members[1:]:
+                left = contexts[i][1]
+                at = bisect_left(seen, left)
+                best = max(common(left, x) for x in seen[max(0, at - 1) : at + 1])
                 a, b = covers.get(i, (0, 0))
                 covers[i] = (min(a, -best), max(b, right))
-            insort(seen, left)
+                insort(seen, left)
     return covers
 
 
@@ -238,8 +242,8 @@ def _buckets(batches) -> Iterator[list[tuple[bytes, bytes, tuple]]]:
     """The contexts of each anchor from rows sorted by anchor, right and left; equal ones are one, at its first place."""
     now, bucket = None, []
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("h", "right", "left", "ord", "pos", "ca", "cb")]
-        for h, right, left, order, pos, ca, cb in zip(*cols, strict=True):
+        whole = [batch.column(c).to_numpy().tolist() for c in ("h", "ord", "pos", "ca", "cb")]
+        for h, order, pos, ca, cb, right, left in zip(*whole, as_bytes(batch.column("right")), as_bytes(batch.column("left")), strict=True):
             if h != now:
                 if len(bucket) > 1:
                     yield bucket
