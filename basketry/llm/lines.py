@@ -292,10 +292,12 @@ def shared_keys(texts: DataFrame, least: int, edits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array(made, np.uint64)[chosen].tobytes()], pa.binary())], schema=PACKED)
 
     def keys(batches):
+        seen: set[bytes] = set()
+        made: list[int] = []
+        of: list[int] = []
         for batch in batches:
-            seen: set[bytes] = set()
-            made: list[int] = []
-            of: list[int] = []
+            if len(seen) > 100_000:
+                seen.clear()
             for text in _values(batch.column(0)):
                 for _, line in lines_of(text, least):
                     hh = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
@@ -311,8 +313,8 @@ def shared_keys(texts: DataFrame, least: int, edits: int) -> DataFrame:
                 if len(made) > 200_000:
                     yield from packed(made, of)
                     made, of = [], []
-            if made:
-                yield from packed(made, of)
+        if made:
+            yield from packed(made, of)
 
     def sampled(batches):
         for batch in batches:

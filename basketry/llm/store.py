@@ -19,6 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.basketry"
 
 
+#: Rows and bytes of a batch that Spark hands to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python workers get batches of BATCH_ROWS and BATCH_BYTES at most, or less where the session says so.
+
+    A batch stands in the executor's direct memory and in its Python worker, there as Python objects too.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:  # 0 and less: no limit
+        spark.conf.set(rows, BATCH_ROWS)
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size))
+    if not 0 < given <= BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
 #: The folders that staged() has made and nobody has discarded.
 SCRATCH: list[str] = []
 

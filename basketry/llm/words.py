@@ -17,7 +17,7 @@ LONG = 64  # bytes; longer words are hashed one by one
 TABLE = np.random.default_rng(20240229).integers(0, 2**64, (LONG, 256), dtype=np.uint64)
 TABLE[:, SPACE] = 0
 TABLE = TABLE.ravel()
-CHUNK = 1 << 21  # bytes of text hashed at once: bounds the temporary arrays
+CHUNK = 1 << 19  # bytes of text hashed at once: bounds the temporary arrays
 
 
 def mix(h: np.ndarray) -> np.ndarray:

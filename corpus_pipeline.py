@@ -16,11 +16,15 @@ _SCRATCH: dict[str, list[str]] = {}
 
 
 def _stage(function):
-    """A stage that first deletes the scratch tables of the stage before: by the contract its result has been written."""
+    """A stage that first deletes the scratch tables of the stage before: by the contract its result has been written.
+
+    It also sets small batches for Python workers, and leaves them set, as its result is made after it returns.
+    """
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         app = spark.sparkContext.applicationId
+        store.small_batches(spark)
         store.remove(spark, _SCRATCH.pop(app, []))
         before = set(store.SCRATCH)
         out = function(spark, docs, sf_dir)

@@ -1,9 +1,14 @@
 """The pipeline's stages, each on its own input."""
 
 import re
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from basketry.llm import decontam, mixing, toxicity
+from basketry.llm.jaccard import sets_of
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -65,3 +70,38 @@ def test_edge_cases(spark, tmp_path):
         if name == "mixing sources":
             assert set(ids) <= {1, None, 5} and [c for c in docs.columns if c != "size"] == out.columns[:-4]
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_stage_batches(spark):
+    """What Python workers get at once is bounded in rows and in bytes, whatever the partition holds; smaller settings stay."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k) for k in keys]
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    stage = corpus_pipeline._stage(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n long, size long"))
+    try:
+        short = spark.range(5000, numPartitions=1).selectExpr("id doc_id", "'a' text")
+        found = [r["n"] for r in stage(spark, short, SMALL).collect()]
+        assert sum(found) == 5000 and max(found) <= 1000
+        long = spark.range(64, numPartitions=1).selectExpr("id doc_id", "repeat('abcdefgh', 1 << 16) text")  # 32 MB
+        found = stage(spark, long, SMALL).collect()
+        assert sum(r["n"] for r in found) == 64 and max(r["size"] for r in found) <= 10 << 20
+        spark.conf.set(keys[0], 10)
+        assert max(r["n"] for r in stage(spark, short, SMALL).collect()) <= 10
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
+def test_hashing_memory():
+    """Hashing many texts holds the temporary arrays of a small part of them."""
+    rng = np.random.default_rng(1)
+    texts = [b" ".join(b"w%d" % x for x in rng.integers(0, 10**6, 300)) for _ in range(2000)]  # 4.5 MB
+    tracemalloc.start()
+    sizes = [len(s) for s in sets_of(texts, 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [296] * 2000 and peak < 40e6
