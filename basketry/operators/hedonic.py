@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.sources.staging import staged
+from basketry.sources.staging import placed, staged
 
 
 @dataclass
@@ -30,17 +30,20 @@ class Fit:
         return out | {n.removeprefix("t:"): float(base_value * np.exp(b)) for n, b in zip(self.names, self.beta, strict=True) if n.startswith("t:")}
 
 
-def design(df: DataFrame, continuous: Sequence[str], categorical: Sequence[str] = (), time: str | None = "period", log: bool = True) -> tuple[DataFrame, list[str], str | None]:
+def design(df: DataFrame, continuous: Sequence[str], categorical: Sequence[str] = (), time: str | None = "period", log: bool = True, order: Sequence[str] = ()) -> tuple[DataFrame, list[str], str | None]:
     """Rows (y, x array) of complete cases: constant, (logged) characteristics, drop-first dummies, period dummies.
 
     Levels of the categorical columns are collected; they are few by nature. The complete cases are written once, as
-    levels, periods and sums all read them. Returns the rows, the names, the base period.
+    levels, periods and sums all read them, and with an order again, with their number in it (at). Returns the rows,
+    the names, the base period.
     """
     need = ["price", *continuous, *categorical, *([time] if time else [])]
     d = df.dropna(subset=need).filter("price > 0")
     for c in continuous if log else ():
         d = d.filter(F.col(c) > 0)
     d = staged(d, "design")
+    if order:
+        d = placed(d, list(order), "at")
     cols: list[tuple[str, Column]] = [("const", F.lit(1.0))]
     cols += [(c, F.ln(c) if log else F.col(c).cast("double")) for c in continuous]
     for c in categorical:
@@ -116,18 +119,76 @@ def hedonic_index(df: DataFrame, continuous: Sequence[str], categorical: Sequenc
     return df.sparkSession.createDataFrame([(p, v) for p, v in rows], "period string, index double").select(F.to_date("period").alias("period"), "index")
 
 
+def shortest_solution(xx: np.ndarray, xy: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """The coefficients of least norm: what is collinear is found with columns of length 1, so rare dummies are not taken for it."""
+    scale = np.sqrt(np.diag(xx))
+    values, vectors = np.linalg.eigh(xx / np.outer(scale, scale))
+    live = values > tolerance * values[-1]
+    beta = (vectors[:, live] / values[live]) @ (vectors[:, live].T @ (xy / scale)) / scale
+    free = vectors[:, ~live] / scale[:, None]
+    return beta - free @ np.linalg.lstsq(free, beta, rcond=None)[0] if free.size else beta
+
+
+def prediction_errors(rows: DataFrame, betas: dict[int, np.ndarray]) -> dict:
+    """n, sum of squared errors of log prices and sum of absolute errors in per cent of prices by fold, in one pass.
+
+    rows has fold, y, price and x; a fold's rows are predicted by its coefficients, those of other folds left out.
+    """
+    r = rows.select(F.col("fold").cast("int").alias("fold"), F.col("y").cast("double").alias("y"), F.col("price").cast("double").alias("price"), "x")
+
+    k = len(next(iter(betas.values())))
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            fold, y, price = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(y), k)
+            for f in set(fold.tolist()) & set(betas):
+                mine = fold == f
+                predicted = x[mine] @ betas[f]
+                held = sums.setdefault(f, np.zeros(3))
+                held += mine.sum(), ((predicted - y[mine]) ** 2).sum(), (np.abs(np.exp(predicted) - price[mine]) / price[mine] * 100).sum()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *[pa.array([s[i] for s in sums.values()]) for i in range(3)]], ["fold", "n", "squares", "percent"])
+
+    found = r.mapInArrow(run, "fold int, n double, squares double, percent double").groupBy("fold").agg(*[F.sum(c).alias(c) for c in ("n", "squares", "percent")])
+    return {e["fold"]: np.array([e["n"], e["squares"], e["percent"]]) for e in found.collect()}
+
+
 def cross_validate(df: DataFrame, continuous: Sequence[str], categorical: Sequence[str] = (), folds: int = 5, key: Column | None = None) -> DataFrame:
-    """fold, n, rmse of log prices: each fold's model is the whole sums less the fold's, so data are summed once."""
-    rows, names, _ = design(df, continuous, categorical)
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("property_id", "period") if key is None else key, F.lit(folds)))
+    """fold, n, rmse (of log prices) and mape (per cent of prices) out of sample; rmse_transformed, mape_pct, folds of all together.
+
+    Folds, no more than rows, are dealt in turn over the complete cases in order of period and property, or by the key.
+    A fold's model is that of the sums of all other folds, so data are summed once; a second pass predicts. Columns that
+    are zero in all other folds are left out of the model. A fold whose other folds have no more rows than the design
+    has columns is not predicted and counts in no error: its own are null, as are those of all if no fold is predicted.
+    Raises where a price or characteristic is infinite.
+    """
+    order = ["period", "property_id", "price", *continuous, *categorical] if key is None else []
+    rows, names, _ = design(df, continuous, categorical, order=order)
+    if key is None:
+        folds = max(min(folds, rows.count()), 1)
+    rows = rows.withColumn("fold", F.pmod(F.col("at") if key is None else key, F.lit(folds)))
     parts = moments(rows.select("y", "x", "fold"), len(names), by="fold")
-    out = []
-    for f, m in sorted(parts.items()):
-        xx = sum(p["xx"] for p in parts.values()) - m["xx"]
-        beta = np.linalg.pinv(xx) @ (sum(p["xy"] for p in parts.values()) - m["xy"])
-        rss = m["yy"] - 2 * beta @ m["xy"] + beta @ m["xx"] @ beta
-        out.append((int(f), int(m["n"]), float(np.sqrt(max(rss, 0) / m["n"]))))
-    return df.sparkSession.createDataFrame(out, "fold int, n long, rmse double")
+    if not all(np.isfinite(p["yy"]) and np.isfinite(p["xx"]).all() for p in parts.values()):
+        raise ValueError("prices and characteristics must be finite")
+    betas = {}
+    for f in parts:
+        rest = [p for g, p in parts.items() if g != f]
+        if sum(p["n"] for p in rest) <= len(names):
+            continue
+        xx, xy = sum(p["xx"] for p in rest), sum(p["xy"] for p in rest)
+        some = np.flatnonzero(np.diag(xx))
+        betas[int(f)] = np.zeros(len(names))
+        betas[int(f)][some] = shortest_solution(xx[np.ix_(some, some)], xy[some])
+    errors = prediction_errors(rows, betas) if betas else {}
+
+    def means(e):
+        return (float(np.sqrt(e[1] / e[0])), float(e[2] / e[0])) if e is not None else (None, None)
+
+    whole = (*means(sum(errors.values()) if errors else None), len(parts))
+    out = [(int(f), int(m["n"]), *means(errors.get(int(f))), *whole) for f, m in sorted(parts.items())]
+    return df.sparkSession.createDataFrame(out, "fold int, n long, rmse double, mape double, rmse_transformed double, mape_pct double, folds int")
 
 
 # --- replacements ---

@@ -32,3 +32,18 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> Da
     inside = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)) - 1
     j = parts.withColumn("_i", inside).join(sizes.select(*group, "_part", before.alias("_before")), [*group, "_part"])
     return j.withColumn(name, (F.col("_i") + F.col("_before")).cast("long")).drop("_i", "_before", "_part")
+
+
+def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df, written in the order given with the 0-based number of each row in the whole table; no task holds all rows.
+
+    A row is written with its part of the sorted rows and its place there; the parts' sizes, a number for each, are
+    collected. Sorting reads df twice.
+    """
+    rows = staged(df.sort(*order).withColumn("_id", F.monotonically_increasing_id()), "placed")
+    part, inside = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dict(rows.groupBy(part).count().collect())
+    before = [0]
+    for p in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(p, 0))
+    return rows.withColumn(name, F.get(F.array(*[F.lit(n).cast("long") for n in before]), part) + inside).drop("_id")
